@@ -20,9 +20,11 @@ BITS = 20
 THRESHOLD = 0.3
 #: Labelled documents that the weights are learned from, at most.
 TRAIN_DOCS = 6000
-EPOCHS = 4
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 3.0, 0.1
+EPOCHS = 5
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 6.0, 0.1
 STEMS = (4, 5)
+#: Training texts that a feature must stand in.
+MIN_DOCS = 3
 _MASK = np.uint64((1 << BITS) - 1)
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
 
@@ -60,6 +62,8 @@ def train(texts: pa.Array, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, float
         once = np.unique(np.concatenate([(d << BITS) + h for d, h in features(part)]))
         starts = np.searchsorted(once, np.arange(len(part) + 1) << BITS)
         examples += [once[a:b] & ((1 << BITS) - 1) for a, b in zip(starts, starts[1:], strict=False)]
+    common = np.bincount(np.concatenate(examples), minlength=1 << BITS) >= MIN_DOCS  # what a text or two have only teaches those texts
+    examples = [e[common[e]] for e in examples]
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
     bias = float(np.log(y.mean() / (1 - y.mean())))
 
