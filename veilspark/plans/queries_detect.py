@@ -99,7 +99,7 @@ def detect_location(spark, sf_dir):
     return _rows(corpus.bilingual(spark, sf_dir), generator(recognizer("location"))).select("doc_id", "value")
 
 
-@query(r"SELECT doc_id, v AS value FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\b(?:Mr\.?|Ms\.?|Dr\.?)?\s*([A-Z][a-z]{2,}\s+[A-Z][a-z]{2,})\b', 1)) AS v FROM documents WHERE lang = 'en') WHERE NOT regexp_matches(v, '(?i) (university|college|hospital|institute|company|corporation)$')")
+@query(r"SELECT doc_id, v AS value FROM (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(text, '[À-ɏ]', '_', 'g'), '\b(?:Mr\.?|Ms\.?|Dr\.?)?\s*([A-Z][a-z]{2,}\s+[A-Z][a-z]{2,})\b', 1)) AS v FROM documents WHERE lang = 'en') WHERE NOT regexp_matches(v, '(?i) (university|college|hospital|institute|company|corporation)$')")
 def detect_person_en(spark, sf_dir):
     """Capitalised name pairs in English documents."""
     return _rows(table(spark, sf_dir, "documents").where("lang = 'en'"), generator(recognizer("person_en"))).select("doc_id", "value")
