@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from veilspark.operators import batch, store, summary
+from veilspark.operators import batch, console, store, summary
 from veilspark.plans.queries_detect import table
 
 QUERIES, ORACLES = {}, {}
@@ -192,3 +192,40 @@ def mask_numbers(spark, sf_dir):
     """First-appearance numbers within a key, long form."""
     first = F.min("o_orderkey").over(Window.partitionBy("o_custkey", "o_orderpriority"))
     return table(spark, sf_dir, "orders").withColumn("f", first).select("o_orderkey", F.dense_rank().over(Window.partitionBy("o_custkey").orderBy("f")).cast("bigint").alias("nth"))
+
+
+@query("SELECT p_partkey, array_to_string(list_filter(list_transform(string_split_regex(p_name || ', ,' || p_brand || '，' || p_type, '[，,]'), lambda x: trim(x)), lambda x: x != ''), '|') AS terms FROM part")
+def term_lists(spark, sf_dir):
+    """Typed lists cut into terms."""
+    text = F.concat("p_name", F.lit(", ,"), "p_brand", F.lit("，"), "p_type")
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(console.terms(text), "|").alias("terms"))
+
+
+@query("SELECT l_orderkey, min(l_linenumber) AS first_line, count(DISTINCT l_linenumber) AS n FROM lineitem GROUP BY l_orderkey")
+def drawable_spans(spark, sf_dir):
+    """Spans that follow each other are all drawn; those inside them are not."""
+    line = F.col("l_linenumber")
+    pair = F.array(F.struct((line * 10).alias("start"), (line * 10 + 10).alias("end")), F.struct((line * 10 + 3).alias("start"), (line * 10 + 5).alias("end")))
+    packed = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.flatten(F.collect_list(pair)).alias("spans"))
+    drawn = packed.withColumn("d", console.drawable(F.col("spans")))
+    return drawn.select("l_orderkey", (F.col("d")[0]["start"] / 10).cast("int").alias("first_line"), F.size("d").cast("bigint").alias("n"))
+
+
+@query("SELECT c_custkey, substr(c_name, 1, 9) AS before, substr(c_name, 19) AS after FROM customer")
+def highlight_parts(spark, sf_dir):
+    """Text before and after the first occurrence of an entity."""
+    rows = table(spark, sf_dir, "customer").withColumn("entity", F.substring("c_name", 10, 9)).withColumn("h", console.highlight("c_name", "entity"))
+    return rows.select("c_custkey", "h.before", "h.after")
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey * 50 NOT BETWEEN 1 AND 3650 THEN 'retention_days' WHEN s_suppkey % 5 NOT BETWEEN 1 AND 3 THEN 'strength' END AS refused FROM supplier")
+def setting_ranges(spark, sf_dir):
+    """Settings out of range and why they are refused."""
+    rows = table(spark, sf_dir, "supplier").withColumns({"retention_days": F.col("s_suppkey") * 50, "strength": F.col("s_suppkey") % 5, "replacement": F.col("s_name")})
+    return console.check_ranges(rows).select("s_suppkey", "refused")
+
+
+@query("SELECT doc_id, replace(text, 'the', 'THE') AS replaced FROM documents")
+def replace_everywhere(spark, sf_dir):
+    """Find and replace over whole texts."""
+    return table(spark, sf_dir, "documents").select("doc_id", console.replace_all(F.col("text"), "the", "THE").alias("replaced"))
