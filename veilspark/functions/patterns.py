@@ -29,20 +29,22 @@ class Recognizer:
     source: str
     group: int = 0
     language: str = "all"
+    #: What every text with a match has; cheaper to look for than the match.
+    needs: str | None = None
 
 
 RULES = (
-    Recognizer("email", "EMAIL", r"(?iu)(?:(?<![A-Za-z0-9_.+-])|\G)[A-Za-z0-9_.+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", 0.99, "RULE"),
-    Recognizer("phone_cn", "PHONE", rf"(?<!{D})(?:\+?86[- ]?)?1[3-9]{D}{{9}}(?!{D})", 0.99, "RULE"),
-    Recognizer("phone_intl", "PHONE", rf"(?<!{D})(?:\+?(?:1|44|61|81|82|65)[-. ]?)?\(?{D}{{2,4}}\)?[-. ]{D}{{3,4}}[-. ]{D}{{4}}(?!{D})", 0.94, "RULE"),
-    Recognizer("id_card", "ID_CARD", rf"(?<!{D}){D}{{17}}[0-9Xx](?!{D})", 0.995, "RULE"),
-    Recognizer("passport", "PASSPORT", rf"(?iu)(?<![A-Z0-9])(?:[EGDSP]{D}{{8}}|[A-Z]{{1,2}}{D}{{6,9}})(?![A-Z0-9])", 0.94, "RULE"),
-    Recognizer("bank_card", "BANK_CARD", rf"(?<!{D})(?:{D}[ -]?){{12,19}}(?!{D})", 0.97, "RULE"),
+    Recognizer("email", "EMAIL", r"(?iu)(?:(?<![A-Za-z0-9_.+-])|\G)[A-Za-z0-9_.+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", 0.99, "RULE", needs="@"),
+    Recognizer("phone_cn", "PHONE", rf"(?<!{D})(?:\+?86[- ]?)?1[3-9]{D}{{9}}(?!{D})", 0.99, "RULE", needs=f"1[3-9]{D}{{9}}"),
+    Recognizer("phone_intl", "PHONE", rf"(?<!{D})(?:\+?(?:1|44|61|81|82|65)[-. ]?)?\(?{D}{{2,4}}\)?[-. ]{D}{{3,4}}[-. ]{D}{{4}}(?!{D})", 0.94, "RULE", needs=f"{D}[-. ]{D}{{4}}"),
+    Recognizer("id_card", "ID_CARD", rf"(?<!{D}){D}{{17}}[0-9Xx](?!{D})", 0.995, "RULE", needs=f"{D}{{17}}"),
+    Recognizer("passport", "PASSPORT", rf"(?iu)(?<![A-Z0-9])(?:[EGDSP]{D}{{8}}|[A-Z]{{1,2}}{D}{{6,9}})(?![A-Z0-9])", 0.94, "RULE", needs=f"{D}{{6}}"),
+    Recognizer("bank_card", "BANK_CARD", rf"(?<!{D})(?:{D}[ -]?){{12,19}}(?!{D})", 0.97, "RULE", needs=f"(?:{D}[ -]?){{12}}"),
 )
 LITE = (
-    Recognizer("org_zh_context", "ORG", rf"(?:{'|'.join(ORG_VERBS)}|在){S}*([{CJK}·&]{{2,30}}{_SUFFIX})", 0.90, "NER-LITE", 1, "zh"),
-    Recognizer("org_zh", "ORG", rf"(?<![{CJK}])([{CJK}·&]{{2,30}}{_SUFFIX})", 0.88, "NER-LITE", 1, "zh"),
-    Recognizer("org_en", "ORG", rf"(?<![A-Za-z])((?:[A-Z][A-Za-z&.-]*{S}+){{1,5}}(?:{'|'.join(ORG_WORDS_EN)}|Corp\.?|Ltd\.?))(?![A-Za-z])", 0.88, "NER-LITE", 1, "en"),
+    Recognizer("org_zh_context", "ORG", rf"(?:{'|'.join(ORG_VERBS)}|在){S}*([{CJK}·&]{{2,30}}{_SUFFIX})", 0.90, "NER-LITE", 1, "zh", f"[{CJK}]"),
+    Recognizer("org_zh", "ORG", rf"(?<![{CJK}])([{CJK}·&]{{2,30}}{_SUFFIX})", 0.88, "NER-LITE", 1, "zh", f"[{CJK}]"),
+    Recognizer("org_en", "ORG", rf"(?<![A-Za-z])((?:[A-Z][A-Za-z&.-]*{S}+){{1,5}}(?:{'|'.join(ORG_WORDS_EN)}|Corp\.?|Ltd\.?))(?![A-Za-z])", 0.88, "NER-LITE", 1, "en", "|".join((*ORG_WORDS_EN, "Corp", "Ltd"))),
     Recognizer(
         "address",
         "ADDRESS",
@@ -51,9 +53,10 @@ LITE = (
         "NER-LITE",
         0,
         "zh",
+        f"[{CJK}]",
     ),
     Recognizer("location", "LOCATION", "(?iu)(?:" + "|".join(GAZETTEER) + ")", 0.83, "NER-LITE"),
-    Recognizer("person_zh", "PERSON", rf"(?:(?:我叫){S}*|(?:姓名|联系人|采访对象(?:姓名)?)[：:]{S}*)([{CJK}·]{{2,5}})", 0.86, "NER-LITE", 1, "zh"),
+    Recognizer("person_zh", "PERSON", rf"(?:(?:我叫){S}*|(?:姓名|联系人|采访对象(?:姓名)?)[：:]{S}*)([{CJK}·]{{2,5}})", 0.86, "NER-LITE", 1, "zh", f"[{CJK}]"),
     Recognizer("person_en", "PERSON", rf"{BORDER}(?:Mr\.?|Ms\.?|Dr\.?)?{S}*([A-Z][a-z]{{2,}}{S}+[A-Z][a-z]{{2,}}){BORDER}", 0.78, "NER-LITE", 1, "en"),
 )
 ALL = {r.key: r for r in RULES + LITE}

@@ -16,14 +16,18 @@ def quoted(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def matches(text: str, pattern: str, group: int = 0) -> Column:
+def matches(text: str, pattern: str, group: int = 0, needs: str | None = None) -> Column:
     """Array of ``start, end, text`` of all matches of ``pattern`` (a SQL expression) in column ``text``.
 
     Offsets count code points.  They are sums of the lengths of matches and of
     the gaps between them, so both come from the engine's own matcher; gaps are
     cut only where there is a match.  The pattern must not match empty text.
+    ``needs`` is a cheap pattern (a SQL expression) that every text with a match has.
     """
-    parts = f"transform(array(regexp_extract_all({text}, {pattern}, 0)), m -> named_struct('m', m, 'g', if(size(m) > 0, split({text}, {pattern}, -1), null), 'v', if(size(m) > 0, {'m' if not group else f'regexp_extract_all({text}, {pattern}, {group})'}, null)))"
+    found = f"regexp_extract_all({text}, {pattern}, 0)"
+    if needs:
+        found = f"if({text} rlike {needs}, {found}, cast(array() as array<string>))"
+    parts = f"transform(array({found}), m -> named_struct('m', m, 'g', if(size(m) > 0, split({text}, {pattern}, -1), null), 'v', if(size(m) > 0, {'m' if not group else f'regexp_extract_all({text}, {pattern}, {group})'}, null)))"
     fold = (
         "aggregate(sequence(0, size(x.m) - 1), named_struct('at', 0, 'out', cast(array() as array<struct<start:int,end:int,text:string>>)),"
         " (a, i) -> named_struct('at', a.at + length(x.g[i]) + length(x.m[i]), 'out', concat(a.out, array(named_struct("
