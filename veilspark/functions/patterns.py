@@ -13,7 +13,6 @@ from veilspark.functions.tables import GAZETTEER, ORG_SUFFIXES, ORG_VERBS, ORG_W
 D = r"\p{Nd}"
 S = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 W = r"[\p{L}\p{N}_]"
-BORDER = f"(?:(?<={W})(?!{W})|(?<!{W})(?={W}))"
 CJK = r"\x{4e00}-\x{9fff}"
 _SUFFIX = "(?:" + "|".join(ORG_SUFFIXES) + ")"
 
@@ -55,8 +54,8 @@ LITE = (
         "zh",
         f"[{CJK}]",
     ),
-    Recognizer("location", "LOCATION", "(?iu)(?:" + "|".join(GAZETTEER) + ")", 0.83, "NER-LITE"),
+    Recognizer("location", "LOCATION", "(?iu)(?=[" + "".join(sorted({g[0] for g in GAZETTEER})) + "])(?:" + "|".join(GAZETTEER) + ")", 0.83, "NER-LITE"),
     Recognizer("person_zh", "PERSON", rf"(?:(?:我叫){S}*|(?:姓名|联系人|采访对象(?:姓名)?)[：:]{S}*)([{CJK}·]{{2,5}})", 0.86, "NER-LITE", 1, "zh", f"[{CJK}]"),
-    Recognizer("person_en", "PERSON", rf"{BORDER}(?:Mr\.?|Ms\.?|Dr\.?)?{S}*([A-Z][a-z]{{2,}}{S}+[A-Z][a-z]{{2,}}){BORDER}", 0.78, "NER-LITE", 1, "en"),
+    Recognizer("person_en", "PERSON", rf"(?=[A-Z])(?:(?<!{W})|(?<=(?<!{W})(?:Mr|Ms|Dr)))([A-Z][a-z]{{2,}}{S}+[A-Z][a-z]{{2,}})(?!{W})", 0.78, "NER-LITE", 1, "en"),
 )
 ALL = {r.key: r for r in RULES + LITE}
