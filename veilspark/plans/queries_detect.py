@@ -187,7 +187,10 @@ def sentence_route(spark, sf_dir):
     return docs.where(F.col("text").rlike(risky)).select("doc_id", lines.alias("n_lines"))
 
 
-@query()
+_CUT = "CASE WHEN {b} + 420 >= length(text) THEN length(text) WHEN length(regexp_extract(substr(text, {b} + 1, 420), '(?s)^(.*[。！？!?\n])', 1)) > 210 THEN {b} + length(regexp_extract(substr(text, {b} + 1, 420), '(?s)^(.*[。！？!?\n])', 1)) ELSE {b} + 420 END"
+
+
+@query(f"WITH RECURSIVE c AS (SELECT doc_id, text, CAST(0 AS BIGINT) AS base, CAST({_CUT.format(b='0')} AS BIGINT) AS till FROM documents UNION ALL SELECT doc_id, text, base, CAST({_CUT.format(b='base')} AS BIGINT) FROM (SELECT doc_id, text, greatest(base + 1, till - 40) AS base FROM c WHERE till < length(text))) SELECT doc_id, CAST(base AS INTEGER) AS base, CAST(till - base AS INTEGER) AS n_chars FROM c")
 def text_chunks(spark, sf_dir):
     """Overlapping chunks of every document."""
     return chunks(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "base", F.length("chunk").alias("n_chars"))
