@@ -20,8 +20,9 @@ from veilspark.llm.common import WORD, materialize, table, unit_hash
 MOST_REPEATS = 3
 #: Words of a block, where the smallest source has 512 blocks of that size; else fewer, down to one.
 BLOCK_WORDS = 1024
-#: Documents of one shard; a hot source is many shards.
-SHARD_DOCS = 20_000
+#: Documents of one shard; a hot source is many shards.  The driver holds one small row for each shard, so shards grow
+#: beyond that where there would be more than MOST_SHARDS.
+SHARD_DOCS, MOST_SHARDS = 2000, 65_536
 #: More sources than this are refused: the driver holds one small row for each.
 MOST_SOURCES = 1_000_000
 
@@ -87,7 +88,8 @@ def mix(docs: DataFrame, weights=lambda i: float(i % 3 + 1), seed: int = 11, blo
     target = targets(sizes, [weights(i) for i in range(len(found))])
     small = min((s for s in sizes if s), default=1)
     block = max(1, min(block_words, small // 512))
-    plan = [(r["source"], i, -(-r["docs"] // SHARD_DOCS), sizes[i], target[i]) for i, r in enumerate(found)]
+    per_shard = max(SHARD_DOCS, sum(r["docs"] for r in found) // MOST_SHARDS)
+    plan = [(r["source"], i, -(-r["docs"] // per_shard), sizes[i], target[i]) for i, r in enumerate(found)]
     sources = _few(spark.createDataFrame(plan, "source string, sid int, shards bigint, source_size bigint, target double"), len(plan))
     dealt = rows.join(sources.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     order = F.xxhash64(F.lit(seed), "doc_id", "size")
