@@ -134,7 +134,8 @@ def resample(docs: DataFrame, seed: int = 11, **options) -> DataFrame:
     times = (F.floor(share) + extra).cast("int")
     counts = mix(docs, seed=seed, **options).where("taken > 0").groupBy("doc_id").agg(F.max(times).alias("times"))
     counts = materialize(counts.where("times > 0"), "times")
-    return docs.join(counts, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), "times"))).select(*docs.columns)
+    # By shuffle at every size: the counts grow with the documents, and they are the side that is hashed.
+    return docs.join(counts.hint("shuffle_hash"), "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), "times"))).select(*docs.columns)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

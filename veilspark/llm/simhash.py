@@ -102,7 +102,8 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """
     members = near_duplicates(docs)
     kept = materialize(members.where("doc_id <=> component_id").groupBy("doc_id").count(), "kept")
-    out = docs.join(kept.where("count = 1").select("doc_id"), "doc_id", "left_semi")
+    # By shuffle at every size: the kept ids grow with the documents, and the small side is the one that is hashed.
+    out = docs.join(kept.where("count = 1").select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi")
     if kept.where("count > 1").limit(1).count():
         again = docs.join(kept.where("count > 1").select("doc_id"), "doc_id", "left_semi")
         out = out.unionByName(again.dropDuplicates(["doc_id"]))
