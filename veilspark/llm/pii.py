@@ -35,7 +35,7 @@ LOOSE = {
 #: What every text with a match has; cheaper to look for than the match.
 NEEDS = {
     "base": {"email": r"@", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){11}", "phone": r"\+[0-9]"},
-    "loose": {"email": r"[\[(]at[\])]", "card": r"(?:[0-9]{4}[ -]?){3}[0-9]{4}", "phone": r"[0-9][ .-][0-9]{3,4}[ .-][0-9]{4}"},
+    "loose": {"email": r"[\[(]at[\])]", "card": r"(?:[0-9]{4}[ -]?){3}[0-9]{4}", "phone": r"[0-9)][ .-][0-9]{3,4}[ .-][0-9]{4}"},
 }
 TOP_DOMAINS = ("com", "org", "net", "edu", "gov", "io", "co", "info", "biz", "de", "fr", "es", "uk", "eu", "it", "nl", "ch", "at", "us", "ca", "au", "jp", "cn", "in", "br")
 COUNTRY_CODES = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "54", "55", "56", "57", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "94", "98")
