@@ -64,6 +64,31 @@ def test_deduplicate_keeps_one(odd_docs, no_docs):
     assert simhash.deduplicate(no_docs).count() == 0
 
 
+def test_deduplicate_by_likeness(spark, documents):
+    rng, words = np.random.default_rng(5), [f"w{i}" for i in range(500)]
+    made = []
+    for g in range(12):
+        base = [words[k] for k in rng.integers(0, 500, 120)]
+        for c in range(5):  # from copy to copy one more word differs, so that the first and the last may be far apart
+            made.append((5000 + 10 * g + c, " ".join(base)))
+            base[int(rng.integers(0, 120))] = f"x{g}-{c}"
+            base[int(rng.integers(0, 120))] = f"y{g}-{c}"
+    docs = documents.select("doc_id", "text").unionByName(spark.createDataFrame(made, "doc_id bigint, text string"))
+    got = sorted(r["doc_id"] for r in simhash.deduplicate(docs).collect())
+    rows = sorted((r["doc_id"], r["text"] or "") for r in docs.collect())
+    fps = [plain_simhash(t) for _, t in rows]
+    sets = []
+    for _, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+        sets.append({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    alike = lambda a, b: bool(a and b) and len(a & b) >= 0.8 * len(a | b)
+    strict = [(i, j) for i in range(len(rows)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 3]
+    close = [(i, j) for i in range(len(rows)) for j in range(i) if alike(sets[i], sets[j])]
+    assert set(close) - set(strict)
+    ids = groups(len(rows), strict + close)
+    assert got == [rows[i][0] for i in range(len(rows)) if ids[i] == i]
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (5, 5)], "a bigint, b bigint")
     got = {r["v"]: r["component"] for r in connected_components(edges).collect()}

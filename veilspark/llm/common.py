@@ -52,6 +52,12 @@ def unit_hash(*cols: Column | str) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
+def row_key(doc_id: str, text: str) -> Column:
+    """The doc_id; for a row without one, a number above all others (2^62 and more) made from its text."""
+    made = F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    return F.coalesce(F.col(doc_id).cast("bigint"), made)
+
+
 def quantile_splits(df: DataFrame, col: str, parts: int) -> list[int]:
     """At most ``parts - 1`` ascending split points of a bigint column (a bounded list)."""
     if parts < 2:

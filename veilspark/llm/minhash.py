@@ -1,0 +1,98 @@
+"""Texts whose sets of word shingles are alike, by MinHash bands and an exact check.
+
+A band of hashes that two texts share puts them into one bucket; a pair at
+Jaccard 0.8 shares none of the 30 bands once in about 9,000 times.  Members of a
+bucket meet its first member, links that hold in the sets themselves are joined
+to components, and then all members of a bucket that are not yet in one
+component meet, so a large bucket of copies makes no pairs but those with its
+first member and no link between other members is passed over.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from veilspark.llm.common import materialize
+from veilspark.llm.components import connected_components
+
+SHINGLE, SIMILARITY = 5, 0.8
+BANDS, ROWS = 30, 6
+
+#: On UTF-8 bytes, as the fingerprints have it: A-Z to lower case; split() then cuts at the six ASCII blanks.
+_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+_TIMES = np.random.default_rng(7).integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32)[:, None] * np.uint32(2) + np.uint32(1)
+_PLUS = np.random.default_rng(8).integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)[:, None]
+
+
+def grams(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The distinct XXH64 of a text's word shingles; a text of fewer words is one shingle, one without words has none."""
+    words = (text or "").encode().translate(_LOWER).split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    n = max(1, len(words) - shingle + 1)
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), 42) for i in range(n)), np.uint64, n))
+
+
+def buckets(found: np.ndarray) -> list[int]:
+    """One signed 64-bit key for each band; none for an empty set."""
+    if not len(found):
+        return []
+    low = (found & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    least = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(low), 4096):
+        np.minimum(least, (low[None, at : at + 4096] * _TIMES + _PLUS).min(1), out=least)
+    keys = np.array([xxhash.xxh64_intdigest(b.tobytes(), k) for k, b in enumerate(least.reshape(BANDS, ROWS))], np.uint64)
+    return keys.view(np.int64).tolist()
+
+
+def _sets(shingle: int):
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sets = [grams(t.as_py(), shingle).view(np.int64) for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "grams"])
+
+    return run
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``a, b`` whose sets have the Jaccard similarity."""
+    for k in "ab":
+        pairs = pairs.join(sets.select(F.col("node").alias(k), F.col("grams").alias(f"grams_{k}")), k)
+    shared, both = F.size(F.array_intersect("grams_a", "grams_b")), F.size("grams_a") + F.size("grams_b")
+    return pairs.where(shared >= (both - shared) * similarity - 1e-9).select("a", "b")
+
+
+def components(nodes: DataFrame, texts: DataFrame, links: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """``v, component`` of every node with a link: one of ``links`` (pairs ``a, b``), or sets that are alike.
+
+    ``nodes`` has one row ``node, n, buckets`` for each distinct text, ``n`` being
+    the size of its set; ``texts`` has rows ``node, text``, each node at least once.
+    """
+    spread = nodes.select("node", "n", F.explode("buckets").alias("bucket"))
+    shared = spread.groupBy("bucket").agg(F.min("node").alias("first"), F.count("*").alias("members")).where("members > 1").drop("members")
+    members = materialize(spread.join(shared, "bucket"), "members")
+    # The join ends its stage, so that adaptive execution can split a text with many copies before they are combined.
+    wanted = materialize(texts.join(members.select("node").distinct(), "node", "left_semi"), "wanted")
+    sets = wanted.groupBy("node").agg(F.first("text").alias("text")).mapInArrow(_sets(shingle), "node bigint, grams array<bigint>")
+    sets = materialize(sets, "sets")
+    near = (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * similarity - 1e-9)  # else no sets of these sizes are alike
+    heads = nodes.select(F.col("node").alias("first"), F.col("n").alias("n_a"))
+    tried = members.where("node != first").select("first", "node", F.col("n").alias("n_b")).distinct().join(heads, "first").where(near)
+    links = materialize(links.unionByName(_alike(tried.select(F.col("first").alias("a"), F.col("node").alias("b")), sets, similarity)), "links")
+    found = connected_components(links)
+    placed = members.join(found.withColumnRenamed("v", "node"), "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component"))
+    placed = materialize(placed, "placed")
+    mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("bucket")
+    apart = materialize(placed.join(mixed, "bucket", "left_semi"), "apart")
+    left, right = (apart.select("bucket", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "component")]) for k in "ab")
+    more = left.join(right, "bucket").where((F.col("component_a") < F.col("component_b")) & near).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    more = materialize(_alike(more, sets, similarity), "more")
+    if not more.limit(1).count():
+        return found
+    return connected_components(links.unionByName(more))

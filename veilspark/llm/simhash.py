@@ -18,7 +18,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import materialize, table
+from veilspark.llm import minhash
+from veilspark.llm.common import materialize, row_key, table
 from veilspark.llm.components import connected_components
 
 SHINGLE = 3
@@ -95,18 +96,54 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS)
     return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
+def _prints(shingle: int):
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                texts = part.column(2).to_pylist()
+                fps, sets = np.array([simhash(t) for t in texts], np.uint64), [minhash.grams(t, shingle) for t in texts]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array(fps.view(np.int64)), pa.array(map(len, sets), pa.int64()), pa.array(map(minhash.buckets, sets), pa.list_(pa.int64()))],
+                    ["key", "node", "fp", "n", "buckets"],
+                )
+
+    return run
+
+
+def deduplicate(docs: DataFrame, shingle: int = minhash.SHINGLE, similarity: float = minhash.SIMILARITY, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: the one with the smallest doc_id.
 
-    Rows that repeat that doc_id are one document; one of them stays.
+    Texts are linked where their sets of ``shingle`` words have the Jaccard
+    ``similarity``, and where their fingerprints differ in at most ``radius`` bits.
+    Rows that repeat that doc_id are one document; one of them stays.  A row
+    without doc_id is a document known by its text; it stays where its group has
+    no row with a doc_id, once.
     """
-    members = near_duplicates(docs)
-    kept = materialize(members.where("doc_id <=> component_id").groupBy("doc_id").count(), "kept")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    known = docs.select("*", row_key("doc_id", "text").alias("key_of_row"), F.xxhash64(text).alias("node_of_row"))
+    texts = known.select(F.col("node_of_row").alias("node"), text.alias("text"))
+    prints = known.select("key_of_row", "node_of_row", text).mapInArrow(_prints(shingle), "key bigint, node bigint, fp bigint, n bigint, buckets array<bigint>")
+    rows = materialize(prints, "prints")
+    nodes = materialize(rows.groupBy("node").agg(F.min("key").alias("rep"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("buckets").alias("buckets")), "nodes")
+    heads = materialize(nodes.groupBy("fp").agg(F.min("node").alias("head")), "heads")
+    links = nodes.join(heads, "fp").where("node != head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    near = close_pairs(heads, radius, blocks)
+    for k in "ab":
+        near = near.join(heads.select(F.col("fp").alias(k), F.col("head").alias(f"head_{k}")), k)
+    links = links.unionByName(near.select(F.col("head_a").alias("a"), F.col("head_b").alias("b")))
+    labels = minhash.components(nodes, texts, links, shingle, similarity)
+    linked = nodes.join(labels.withColumnRenamed("v", "node"), "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
+    least = linked.groupBy("component").agg(F.min("rep").alias("least"))
+    classes = linked.join(least, "component").where("rep = least").select("node", "rep")  # the texts of the rows that may stay
+    members = rows.select("key", "node").join(classes, "node").where("key = rep")
+    kept = materialize(members.groupBy("key").agg(F.min("node").alias("node"), F.count("*").alias("count")), "kept")
+    one, many = (kept.where(w).select(F.col("key").alias("key_of_row"), F.col("node").alias("node_of_row")) for w in ("count = 1", "count > 1"))
     # By shuffle at every size: the kept ids grow with the documents, and the small side is the one that is hashed.
-    out = docs.join(kept.where("count = 1").select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi")
+    out = known.join(one.hint("shuffle_hash"), ["key_of_row", "node_of_row"], "left_semi")
     if kept.where("count > 1").limit(1).count():
-        again = docs.join(kept.where("count > 1").select("doc_id"), "doc_id", "left_semi")
-        out = out.unionByName(again.dropDuplicates(["doc_id"]))
+        again = known.join(many, ["key_of_row", "node_of_row"], "left_semi")
+        out = out.unionByName(again.dropDuplicates(["key_of_row"]))
     return out.select(*docs.columns)
 
 
