@@ -4,7 +4,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from veilspark.llm import embeddings, simhash
+from veilspark.llm import embeddings, mixing, simhash
 from veilspark.llm.components import connected_components
 
 
@@ -89,6 +89,15 @@ def test_deduplicate_by_likeness(spark, documents):
     assert got == [rows[i][0] for i in range(len(rows)) if ids[i] == i]
 
 
+def test_rows_without_id_stay(spark):
+    texts = [(None, "alone and without a key"), (None, "alone and without a key"), (None, "another text that has no key"), (7, "with a key"), (None, "With a KEY"), (8, None)]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in texts], "doc_id bigint, text string, source string")
+    got = sorted((str(r["doc_id"]), r["text"]) for r in simhash.deduplicate(docs).collect())
+    assert got == [("7", "with a key"), ("8", None), ("None", "alone and without a key"), ("None", "another text that has no key")]
+    mixed = mixing.resample(docs.where("doc_id is null"), weights=lambda i: 1.0).collect()
+    assert {r["text"] for r in mixed} == {t for i, t in texts if i is None}
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (5, 5)], "a bigint, b bigint")
     got = {r["v"]: r["component"] for r in connected_components(edges).collect()}

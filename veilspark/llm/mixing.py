@@ -15,7 +15,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import WORD, materialize, table, unit_hash
+from veilspark.llm.common import WORD, materialize, row_key, table, unit_hash
 
 MOST_REPEATS = 3
 #: Words of a block, where the smallest source has 512 blocks of that size; else fewer, down to one.
@@ -128,14 +128,18 @@ def _chosen(at: str, block: int):
 
 
 def resample(docs: DataFrame, seed: int = 11, **options) -> DataFrame:
-    """``docs`` as the mix takes them: each row as many times as ``taken / size`` says, a fraction being a seeded chance of one more."""
+    """``docs`` as the mix takes them: each row as many times as ``taken / size`` says, a fraction being a seeded chance of one more.
+
+    A row without doc_id is known by its text.
+    """
     share = F.col("taken") / F.col("size")
     extra = (unit_hash(F.lit(seed), F.lit("extra"), "doc_id") < share - F.floor(share)).cast("int")
     times = (F.floor(share) + extra).cast("int")
-    counts = mix(docs, seed=seed, **options).where("taken > 0").groupBy("doc_id").agg(F.max(times).alias("times"))
+    known = docs.withColumn("key_of_row", row_key("doc_id", "text"))
+    counts = mix(known.withColumn("doc_id", F.col("key_of_row")), seed=seed, **options).where("taken > 0").groupBy(F.col("doc_id").alias("key_of_row")).agg(F.max(times).alias("times"))
     counts = materialize(counts.where("times > 0"), "times")
     # By shuffle at every size: the counts grow with the documents, and they are the side that is hashed.
-    return docs.join(counts.hint("shuffle_hash"), "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), "times"))).select(*docs.columns)
+    return known.join(counts.hint("shuffle_hash"), "key_of_row").withColumn("copy", F.explode(F.sequence(F.lit(1), "times"))).select(*docs.columns)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
