@@ -137,6 +137,18 @@ def test_main_text(spark):
     assert html.extract(df.where("false")).count() == 0
 
 
+def test_main_text_is_whole_without_article():
+    long, other = "the story goes on " * 16, "words and more words " * 13
+    p = lambda t, n: [f"{t.strip()} {k}" for k in range(n)]
+    page = lambda *lines: "<html><body><div class='nav'>Home</div>" + "".join(x if x[0] == "<" else f"<p>{x}</p>" for x in lines) + "<div class='site-footer'>end</div></body></html>"
+    advert = ["<div class='ad'><p>buy</p><p>now</p><p>here</p></div>"]
+    short, tail = [f"a short item {k}" for k in range(5)], [f"a line of some thirty letters {k}" for k in range(8)]
+    for middle in (advert, short):
+        lines = ["A title", *p(long, 6), *middle, *p(other, 6)]
+        assert html.main_text(page(*lines)).split("\n") == [x for x in lines if x[0] != "<"]
+    assert html.main_text(page(*p(long, 3), *tail)).split("\n") == p(long, 3) + tail
+
+
 def plain_url(url):
     m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
     host, path = (re.sub("[A-Z]", lambda x: x[0].lower(), m[1]), m[2]) if m else ("", "")

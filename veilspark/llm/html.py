@@ -108,17 +108,16 @@ def main_text(page: str | None, window: int = WINDOW) -> str:
 
 
 def _core(lengths: np.ndarray, window: int) -> np.ndarray:
-    """Without an article element: from where window sums surge over a share of the densest to where they dive to none."""
-    blocks = np.convolve(lengths, np.ones(window, np.int64), "same")
-    top = int(blocks.argmax())
+    """Without an article element: from where window sums first surge over a share of the densest to where they last dive under half of it.
+
+    Blank lines take no part in the sums, so an advert between paragraphs ends nothing, and all lines between stay.
+    """
+    live = np.flatnonzero(lengths)
+    blocks = np.convolve(lengths[live], np.ones(window, np.int64))[(window - 1) // 2 :][: len(live)]
     level = min(120, blocks.max() // 4)
-    left = right = top
-    while left > 0 and blocks[left - 1] >= level:
-        left -= 1
-    while right < len(lengths) - 1 and blocks[right + 1] >= level:
-        right += 1
+    surge, dive = np.flatnonzero(blocks >= level)[0], np.flatnonzero(2 * blocks >= level)[-1]
     out = np.zeros_like(lengths)
-    out[left : right + 1] = lengths[left : right + 1]
+    out[live[surge : dive + 1]] = lengths[live[surge : dive + 1]]
     return out
 
 
