@@ -149,6 +149,20 @@ def test_main_text_is_whole_without_article():
     assert html.main_text(page(*p(long, 3), *tail)).split("\n") == p(long, 3) + tail
 
 
+def test_names_of_whole_pages_are_no_boilerplate():
+    story = "the story goes on " * 20
+    for name in ("no-sidebar", "has-header-image", "with-nav", "sidebar", "page header"):
+        for inner in (f"<article>{story}</article>", f"<main>{story}</main>", f"<p>{story}</p>"):
+            assert html.main_text(f"<html class='{name}'><body class='{name}'>{inner}<div class='footer'>end</div></body></html>") == story.strip()
+        assert html.main_text(f"<body><div id='{name}'><article>{story}</article></div><nav>x</nav></body>") == story.strip()
+    for name in ("no-sidebar", "has-header-image", "with-nav"):
+        assert html.main_text(f"<div class='{name}'><p>{story}</p></div>") == story.strip()
+    assert html.main_text(f"<body><form><nav>menu</nav><p>{story}</p></form></body>") == story.strip()
+    assert html.main_text(f"<article>{story}</article><div class='related'><article>teaser</article></div><aside><article>other</article></aside>") == story.strip()
+    for name in ("site-footer", "cookie-notice", "ad ad-300x250", "main-nav", "comment-list"):
+        assert html.main_text(f"<p>{story}</p><div class='{name}'>{story}</div>") == story.strip()
+
+
 def plain_url(url):
     m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
     host, path = (re.sub("[A-Z]", lambda x: x[0].lower(), m[1]), m[2]) if m else ("", "")

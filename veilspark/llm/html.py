@@ -8,6 +8,7 @@ main text.
 
 from __future__ import annotations
 
+import functools
 import html as entities
 import re
 
@@ -25,35 +26,39 @@ _RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|ifram
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9-]*)([^<>\"']*(?:\"[^\"]*\"[^<>\"']*|'[^']*'[^<>\"']*)*)>")
 _HEAD = re.compile(r"<title\b[^>]*>.*?(?:</title\s*>|\Z)", re.I | re.S)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_BOILER = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|comments?|disqus|replies|sidebar|menu|nav\w*|breadcrumbs?|footer|header|masthead|share|social|related|recommend\w*|newsletter|subscribe|signup|login|search|popup|modal|copyright|pagination|widget|complementary|contentinfo)(?:$|[\s_-])",
-    re.I,
-)
+_BOILER = re.compile(r"ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|comments?|disqus|replies|sidebar|menu|nav\w*|breadcrumbs?|footer|header|masthead|share|social|related|recommend\w*|newsletter|subscribe|signup|login|search|popup|modal|copyright|pagination|widget|complementary|contentinfo", re.I)
+#: Parts that may stand beside such a word in a name; with any other ("no-sidebar", "has-header-image") the name says something else.
+_BESIDE = re.compile(r"[0-9]+(?:x[0-9]+)?|site|page|global|main|top|bottom|upper|lower|left|right|primary|secondary|sub|sticky|fixed|mobile|desktop|user|google|banner|box|bar|list|links?|items?|container|wrapper|wrap|inner|outer|block|area|section|unit|slot|panel|form|buttons?|icons?|posts?|articles?|stories|message|text|overlay|dialog|media|us|up|js", re.I)
 _BOILER_TAGS = {"nav", "header", "footer", "aside", "form", "button", "menu", "dialog", "option", "label", "fieldset"}
 _BLOCKS = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
+#: These hold the page itself, whatever their names say.
+_WHOLE = {"html", "body"}
 _ARTICLE = re.compile(r"(?:^|\s)(?:main|article)(?:$|\s)", re.I)
 
 
+@functools.lru_cache(4096)
+def _boilerplate(names: str) -> bool:
+    """Whether a class, id or role is, as a whole, the name of boilerplate."""
+    for name in names.split():
+        parts = [x for x in re.split("[-_]+", name) if x]
+        known = [_BOILER.fullmatch(x) is not None for x in parts]
+        if any(known) and all(k or _BESIDE.fullmatch(x) for k, x in zip(known, parts, strict=True)):
+            return True
+    return False
+
+
 def lines_of(page: str) -> list[tuple[str, bool, bool]]:
     """Lines of a page: text, whether it is boilerplate by its elements, whether it stands in an article."""
     page = _HEAD.sub("", _RAW.sub("", page))
-    out, parts, at = [], [], 0
-    stack, boilers, articles = [], 0, 0  # open elements as (tag, boilerplate, article), and how many of each kind
+    lines, parts, at = [], [], 0
+    elements, stack = [], []  # elements as (parent, tag, boilerplate, article, article proper), and the open ones' places
 
     def end():
-        text = "" if boilers else " ".join(entities.unescape("".join(parts)).split())
-        if text or boilers and any(x and not x.isspace() for x in parts):
-            out.append((text, boilers > 0, articles > 0))
+        if text := " ".join(entities.unescape("".join(parts)).split()):
+            lines.append((text, stack[-1] if stack else -1))
         parts.clear()
 
-    def close(k):
-        nonlocal boilers, articles
-        for _, b, a in stack[k:]:
-            boilers -= b
-            articles -= a
-        del stack[k:]
-
     for m in _TAG.finditer(page):
         parts.append(page[at : m.start()])
         at = m.end()
@@ -66,25 +71,53 @@ def lines_of(page: str) -> list[tuple[str, bool, bool]]:
             continue
         if closing:
             for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    close(k)
+                if elements[stack[k]][1] == tag:
+                    del stack[k:]
                     break
         else:
             names = " ".join(x for g in _NAMES.findall(m[3]) for x in g if x) if m[3] else ""
             article = tag in ("article", "main") or (bool(names) and _ARTICLE.search(names) is not None)
-            boiler = tag in _BOILER_TAGS or (bool(names) and not article and _BOILER.search(names) is not None)
+            named = bool(names) and _boilerplate(names)
+            boiler = tag not in _WHOLE and (tag in _BOILER_TAGS or (named and not article))
             if tag == "p":  # an open paragraph ends where the next begins
                 for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == "p":
-                        close(k)
+                    if elements[stack[k]][1] == "p":
+                        del stack[k:]
                         break
-                    if stack[k][0] in _BLOCKS:
+                    if elements[stack[k]][1] in _BLOCKS:
                         break
-            stack.append((tag, boiler, article))
-            boilers += boiler
-            articles += article
+            elements.append((stack[-1] if stack else -1, tag, boiler, article, article and not named))
+            stack.append(len(elements) - 1)
     parts.append(page[at:])
     end()
+    boilers = _boilers(elements, lines)
+    articles = [False] * (len(elements) + 1)
+    for k, (parent, _, _, article, _) in enumerate(elements):
+        articles[k] = article or articles[parent]
+    return [("" if boilers[e] else text, boilers[e], articles[e]) for text, e in lines]
+
+
+def _boilers(elements: list[tuple], lines: list[tuple[str, int]]) -> list[bool]:
+    """Whether each element stands in boilerplate; the last entry, at -1, is for the page.
+
+    What holds the main element is none, nor is a form with most of the page's text, nor what holds an article where
+    no article stands outside boilerplate (articles beside one may be teasers or comments).
+    """
+    chars, mains, proper = ([0] * (len(elements) + 1) for _ in range(3))
+    for text, e in lines:
+        chars[e] += len(text)
+    total = sum(chars)
+    for k in range(len(elements) - 1, -1, -1):
+        parent, tag, _, _, own = elements[k]
+        chars[parent] += chars[k]
+        mains[parent] += mains[k] + (own and tag == "main" and chars[k] > 0)
+        proper[parent] += proper[k] + (own and chars[k] > 0)
+    for held in (mains, proper):
+        out = [False] * (len(elements) + 1)
+        for k, (parent, tag, boiler, _, _) in enumerate(elements):
+            out[k] = out[parent] or (boiler and not held[k] and not (tag == "form" and 2 * chars[k] > total))
+        if any(e[4] and chars[k] and not out[k] for k, e in enumerate(elements)):
+            break
     return out
 
 
