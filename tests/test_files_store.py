@@ -9,6 +9,7 @@ from veilspark.operators.adapters import entities, verified
 from veilspark.operators.detect import detect
 from veilspark.operators.knowledge import collect_strings, remote_levels
 from veilspark.operators.merge import merged
+from veilspark.plans.registry import QUERIES
 from veilspark.sources import files, sinks
 from veilspark.streaming import stream
 
@@ -54,6 +55,24 @@ def test_exports(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "csv"), header=True, escape='"').count() == 3
 
 
+def test_export_parts_are_whole(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("source", "doc_id", "text")
+    odd = spark.createDataFrame([("one", 2, None), ("one", 1, ""), ("one", 3, "x"), ("none", 1, None)], "source string, doc_id bigint, text string")
+    rows = docs.unionByName(odd)
+    monkeypatch.setattr(batch, "PART_CHARS", 3000)
+    got, count, found = {}, {}, batch.export_parts(rows.repartition(8), "source", "doc_id", "text").orderBy("source", "part").collect()
+    for r in found:
+        got.setdefault(r["source"], []).extend([] if r["content"] is None else [r["content"]])
+        count[r["source"]] = count.get(r["source"], 0) + r["n_rows"]
+    want = {}
+    for f, _, t in sorted(rows.collect(), key=lambda r: (r[0], r[1])):
+        want.setdefault(f, []).append(t)
+    assert {f: "\n".join(p) for f, p in got.items()} == {f: "\n".join(t for t in x if t is not None) for f, x in want.items()}
+    assert count == {f: len(x) for f, x in want.items()} and len(found) > len(want)
+    whole = QUERIES["file_group_export_whole"](spark, "/root/testdata/sf0.001")
+    assert sum(len(r["content"]) + 1 - r["n_rows"] for r in whole.collect()) == docs.agg(F.sum(F.length("text"))).first()[0]
+
+
 def test_dead_letters(spark):
     rows = spark.createDataFrame([("f", 1, "ok"), ("f", 2, " "), ("f", 3, None), ("f", 4, "x" * 100_001)], "file string, row int, text string")
     good, dead = batch.split_faulty(rows)

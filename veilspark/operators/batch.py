@@ -34,6 +34,49 @@ def grouped_texts(results: DataFrame, file: str = "file", row: str = "row", text
     return packed.select(file, F.array_join(F.transform("rows", lambda r: r["text"]), "\n").alias("content"), F.size("rows").alias("n_rows"))
 
 
+#: Characters of a part of an export, beyond which the next row begins a new part.
+PART_CHARS = 4_000_000
+
+
+def export_parts(results: DataFrame, file: str = "file", row: str = "row", text: str = "final_text") -> DataFrame:
+    """``file, part, content, n_rows``: whole texts of a file, its rows in order, cut into parts of bounded size.
+
+    The parts of a file, by ``part`` and joined by a line feed, are what ``grouped_texts`` makes of it.  Rows are dealt
+    by ranges of file and row, so a file of any size is written by many tasks.  As there, a null text is left out of
+    the content but counts as a row.
+    """
+    rows = results.select(F.col(file).cast("string").alias("file"), F.col(row).alias("row"), F.col(text).cast("string").alias("text"))
+    ordered = rows.repartitionByRange("file", "row", "text").sortWithinPartitions("file", "row", "text")
+    parts = ordered.select("file", F.spark_partition_id().cast("bigint").alias("at"), "text").mapInArrow(_parts(PART_CHARS), "file string, part bigint, content string, n_rows bigint")
+    return parts.withColumnsRenamed({"file": file})
+
+
+def _parts(most: int):
+    import pyarrow as pa
+
+    def run(batches):
+        names = ["file", "part", "content", "n_rows"]
+        made, now, texts, size, n, at = 0, None, [], 0, 0, 0
+
+        def part():
+            content = "\n".join(texts) if texts else None  # None: nothing to join, not an empty row
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.string()), pa.array([(at << 32) + made], pa.int64()), pa.array([content], pa.string()), pa.array([n], pa.int64())], names)
+
+        for batch in batches:
+            for file, at, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if n and (file != now or size > most):
+                    yield part()
+                    made, texts, size, n = made + 1, [], 0, 0
+                now, n = file, n + 1
+                if text is not None:
+                    texts.append(text)
+                    size += len(text) + 1
+        if n:
+            yield part()
+
+    return run
+
+
 def export_name(file: Column) -> Column:
     """A safe relative name: back-slashes turned, empty, dot and parent parts dropped, suffix replaced."""
     parts = F.filter(F.split(F.replace(file, F.lit("\\"), F.lit("/")), "/"), lambda p: ~p.isin("", ".", ".."))

@@ -119,6 +119,13 @@ def file_group_export(spark, sf_dir):
     return batch.grouped_texts(rows).select("file", F.col("n_rows").cast("bigint").alias("n_rows"), F.md5("content").alias("content_md5"))
 
 
+@query()
+def file_group_export_whole(spark, sf_dir):
+    """Whole rows grouped by file, in order, as parts that many tasks write; the SQL of file_group_export has prefixes."""
+    rows = table(spark, sf_dir, "documents").select(F.col("source").alias("file"), F.col("doc_id").alias("row"), F.col("text").alias("final_text"))
+    return batch.export_parts(rows)
+
+
 _NAME = "'dir' || CAST(p_size % 2 AS VARCHAR) || '/' || p_brand || '.redacted.txt'"
 
 
