@@ -104,3 +104,17 @@ def test_chunks_and_routing(spark):
     assert chunk_bounds("", 420, 40) == [(0, 0)]
     got = _docs(spark, "无关。我叫王洋！ok中", "plain").select(routed("text")).collect()
     assert [r[0] for r in got] == ["[3:8] 我叫王洋！\n[8:11] ok中", "[0:5] plain"]
+
+
+def test_names_in_all_documents_equal_brute_force(spark):
+    import re
+
+    from veilspark.plans.registry import QUERIES
+
+    data = "/root/testdata/sf0.01"
+    name = re.compile(r"\b(?:Mr\.?|Ms\.?|Dr\.?)?\s*([A-Z][a-z]{2,}\s+[A-Z][a-z]{2,})\b")
+    organisation = re.compile(r"(?i) (?:university|college|hospital|institute|company|corporation)$")
+    docs = spark.read.parquet(f"{data}/documents.parquet").collect()
+    found = [(r["doc_id"], v, r["lang"]) for r in docs for v in name.findall(r["text"] or "") if not organisation.search(v)]
+    assert sorted((r["doc_id"], r["value"]) for r in QUERIES["detect_person_en_all"](spark, data).collect()) == sorted(x[:2] for x in found)
+    assert {x[2] for x in found} > {"en"}

@@ -105,6 +105,12 @@ def detect_person_en(spark, sf_dir):
     return _rows(table(spark, sf_dir, "documents").where("lang = 'en'"), generator(recognizer("person_en"))).select("doc_id", "value")
 
 
+@query()
+def detect_person_en_all(spark, sf_dir):
+    """Capitalised name pairs in all documents, whatever their lang; the SQL of detect_person_en has lang = 'en' only."""
+    return _rows(table(spark, sf_dir, "documents"), generator(recognizer("person_en"))).select("doc_id", "value")
+
+
 @query(f"{CN} SELECT doc_id, org AS value FROM cn WHERE false UNION ALL SELECT doc_id, n AS value FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?:^|[^一-鿿])([一-鿿·&]{{2,30}}(?:大学|学院|医院|研究院|委员会|有限公司|集团|银行))', 1)) AS n FROM cn) WHERE NOT regexp_matches(n, '就读于|任职于|来自|工作于|毕业于|供职于|隶属于')")
 def detect_org_zh(spark, sf_dir):
     """Bare organisation names (those inside a context verb's phrase are dropped)."""
