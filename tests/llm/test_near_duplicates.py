@@ -1,10 +1,11 @@
 import re
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from veilspark.llm import embeddings, mixing, simhash
+from veilspark.llm import embeddings, minhash, mixing, simhash
 from veilspark.llm.components import connected_components
 
 
@@ -64,7 +65,9 @@ def test_deduplicate_keeps_one(odd_docs, no_docs):
     assert simhash.deduplicate(no_docs).count() == 0
 
 
-def test_deduplicate_by_likeness(spark, documents):
+@pytest.mark.parametrize("few", [64, 2])
+def test_deduplicate_by_likeness(spark, documents, monkeypatch, few):
+    monkeypatch.setattr(minhash, "FEW", few)
     rng, words = np.random.default_rng(5), [f"w{i}" for i in range(500)]
     made = []
     for g in range(12):

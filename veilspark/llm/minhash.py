@@ -1,11 +1,11 @@
 """Texts whose sets of word shingles are alike, by MinHash bands and an exact check.
 
 A band of hashes that two texts share puts them into one bucket; a pair at
-Jaccard 0.8 shares none of the 30 bands once in about 9,000 times.  Members of a
-bucket meet its first member, links that hold in the sets themselves are joined
-to components, and then all members of a bucket that are not yet in one
-component meet, so a large bucket of copies makes no pairs but those with its
-first member and no link between other members is passed over.
+Jaccard 0.8 shares none of the 30 bands once in about 9,000 times.  All members of
+a small bucket meet; those of a large one meet its first member, links that hold
+in the sets themselves are joined to components, and then all members of a large
+bucket that are not yet in one component meet.  So a large bucket of copies makes
+no pairs but those with its first member, and no link is passed over.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from veilspark.llm.components import connected_components
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 30, 6
+#: Members of a small bucket.
+FEW = 64
 
 #: On UTF-8 bytes, as the fingerprints have it: A-Z to lower case; split() then cuts at the six ASCII blanks.
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -75,24 +77,27 @@ def components(nodes: DataFrame, texts: DataFrame, links: DataFrame, shingle: in
     the size of its set; ``texts`` has rows ``node, text``, each node at least once.
     """
     spread = nodes.select("node", "n", F.explode("buckets").alias("bucket"))
-    shared = spread.groupBy("bucket").agg(F.min("node").alias("first"), F.count("*").alias("members")).where("members > 1").drop("members")
+    shared = spread.groupBy("bucket").agg(F.min("node").alias("first"), F.count("*").alias("members")).where("members > 1")
     members = materialize(spread.join(shared, "bucket"), "members")
     # The join ends its stage, so that adaptive execution can split a text with many copies before they are combined.
     wanted = materialize(texts.join(members.select("node").distinct(), "node", "left_semi"), "wanted")
     sets = wanted.groupBy("node").agg(F.first("text").alias("text")).mapInArrow(_sets(shingle), "node bigint, grams array<bigint>")
     sets = materialize(sets, "sets")
-    near = (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * similarity - 1e-9)  # else no sets of these sizes are alike
-    heads = nodes.select(F.col("node").alias("first"), F.col("n").alias("n_a"))
-    tried = members.where("node != first").select("first", "node", F.col("n").alias("n_b")).distinct().join(heads, "first").where(near)
-    links = materialize(links.unionByName(_alike(tried.select(F.col("first").alias("a"), F.col("node").alias("b")), sets, similarity)), "links")
+    near = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * similarity - 1e-9  # else no sets of these sizes are alike
+    side = lambda df, k: df.select("bucket", *[F.col(c).alias(f"{c}_{k}") for c in df.columns if c not in ("bucket", "first", "members")])
+    pairs = lambda left, right, apart: left.join(right, "bucket").where(apart & near).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+    heads = members.where((F.col("members") <= FEW) | (F.col("node") == F.col("first")))
+    tried = pairs(side(heads, "a"), side(members, "b"), F.col("node_a") < F.col("node_b"))
+    links = materialize(links.unionByName(_alike(tried, sets, similarity)), "links")
     found = connected_components(links)
-    placed = members.join(found.withColumnRenamed("v", "node"), "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component"))
+    large = members.where(F.col("members") > FEW)
+    if not large.limit(1).count():
+        return found
+    placed = large.join(found.withColumnRenamed("v", "node"), "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component"))
     placed = materialize(placed, "placed")
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("bucket")
     apart = materialize(placed.join(mixed, "bucket", "left_semi"), "apart")
-    left, right = (apart.select("bucket", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "component")]) for k in "ab")
-    more = left.join(right, "bucket").where((F.col("component_a") < F.col("component_b")) & near).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
-    more = materialize(_alike(more, sets, similarity), "more")
+    more = materialize(_alike(pairs(side(apart, "a"), side(apart, "b"), F.col("component_a") < F.col("component_b")), sets, similarity), "more")
     if not more.limit(1).count():
         return found
     return connected_components(links.unionByName(more))
