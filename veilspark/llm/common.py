@@ -92,18 +92,44 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, seed: int = 5):
-    """At most ``most`` labelled texts to learn from, as an Arrow table ``text, y`` in seeded order.
+def few_by_hash(rows: DataFrame, key: Column, most: int) -> DataFrame:
+    """Rows in the order of a hash, ``most`` at most: those under a threshold that leaves about ``most`` are ordered only.
 
-    The ids are drawn first and sent to the documents' scan, so texts are not
-    shuffled.  Held-out rows and null labels are never drawn; repeated labels of
-    a document count as their largest.
+    So what reaches the driver's merge is about ``most`` rows, however many partitions there are.
     """
+    n = rows.count()
+    share = min(1.0, (most + 8 * most**0.5 + 64) / max(1, n))
+    near = rows.withColumn("at", key)
+    if share < 1:
+        near = near.where(F.pmod(F.col("at"), F.lit(1 << 40)) < F.lit(int(share * (1 << 40))))
+    return near.orderBy(F.pmod(F.col("at"), F.lit(1 << 40)), *[c for c in rows.columns]).limit(most)
+
+
+def fitted(docs: DataFrame, labels: DataFrame, label: str, most: int, fit, seed: int = 5):
+    """What ``fit`` (from an Arrow array of texts and an array of 0 and 1) learns from at most ``most`` labelled texts.
+
+    The ids are drawn first and sent to the documents' scan, so other texts are not shuffled.  Learning runs in one
+    task, which is done again where its executor is lost; the driver gets the model only.  Held-out rows and null
+    labels are never drawn; repeated labels of a document count as their largest.  Texts come in seeded order.
+    """
+    import pickle
+
+    import pyarrow as pa
+
     known = labels.select(F.col("doc_id").cast("bigint"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y is not null").where(~held_out(F.col("doc_id")))
-    drawn = known.groupBy("doc_id").agg(F.max("y").alias("y")).withColumn("at", F.xxhash64(F.lit(seed), "doc_id")).orderBy("at", "doc_id").limit(most)
+    drawn = few_by_hash(known.groupBy("doc_id").agg(F.max("y").alias("y")), F.xxhash64(F.lit(seed), "doc_id"), most)
     texts = docs.select(F.col("doc_id").cast("bigint"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    got = texts.join(F.broadcast(drawn), "doc_id").select("at", "y", "text").toArrow()  # bounded by ``most``, but for repeated documents
-    return got.sort_by([("at", "ascending"), ("text", "ascending")]).slice(0, most)
+
+    def run(batches):
+        held = [b for b in batches if b.num_rows]
+        rows = pa.Table.from_batches(held).slice(0, most) if held else None
+        found = rows.column("text").combine_chunks() if rows else pa.array([], pa.string())
+        y = np.array(rows.column("y").to_pylist() if rows else [], float)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(found, y))], pa.binary())], ["model"])
+
+    met = texts.join(F.broadcast(drawn), "doc_id").select("at", "y", "text")  # ``most`` rows, but for repeated documents
+    got = met.repartition(1).sortWithinPartitions("at", "text").select("y", "text").mapInArrow(run, "model binary").collect()  # one row
+    return pickle.loads(got[0]["model"]) if got else fit(pa.array([], pa.string()), np.zeros(0))
 
 
 def scored(docs: DataFrame, score, threshold: float) -> DataFrame:

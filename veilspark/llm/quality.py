@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspark.llm.common import labelled_sample, scored, table
+from veilspark.llm.common import fitted, scored, table
 
 #: Words of a passage.
 PASSAGE = 64
@@ -127,6 +127,10 @@ def train(texts: list[str], y: np.ndarray, seed: int = 3) -> Network:
     return net
 
 
+def _weights(texts: pa.Array, y: np.ndarray) -> dict[str, np.ndarray]:
+    return train(texts.to_pylist(), y).w
+
+
 def scorer(weights: dict[str, np.ndarray]):
     def score(texts: pa.Array) -> np.ndarray:
         return Network(weights).forward(*_bags(texts.to_pylist()))["p"]
@@ -138,10 +142,12 @@ def classify(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -
     """``doc_id, held_out, score, predicted`` for every row of ``docs`` (columns ``doc_id, text``).
 
     Learns from at most ``train_docs`` labelled texts.  A null text is scored as
-    an empty one, which is one passage without words.
+    an empty one, which is one passage without words.  Repeated rows each get a
+    row, every passage of a text of any length counts, a null doc_id is not held
+    out, columns beside the two are not read, and an empty table gives no rows.
+    Without labels of both classes all scores are equal.
     """
-    drawn = labelled_sample(docs, labels, "quality", train_docs)
-    return scored(docs, scorer(train(drawn.column("text").to_pylist(), np.array(drawn.column("y").to_pylist(), float)).w), THRESHOLD)
+    return scored(docs, scorer(fitted(docs, labels, "quality", train_docs, _weights)), THRESHOLD)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspark.llm.common import labelled_sample, mix64, scored, table
+from veilspark.llm.common import fitted, mix64, scored, table
 
 BITS = 20
 THRESHOLD = 0.3
@@ -56,13 +56,15 @@ def train(texts: pa.Array, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, float
     """Features with a weight, their weights, and the bias.  One class or no rows give the bias alone."""
     if not len(y) or y.min() == y.max():
         return np.zeros(0, np.int64), np.zeros(0), -4.0 if not len(y) or not y[0] else 4.0
-    examples = []
+    examples, seen = [], np.zeros(1 << BITS, np.int32)
     for at in range(0, len(y), 256):
         part = texts.slice(at, 256)
         once = np.unique(np.concatenate([(d << BITS) + h for d, h in features(part)]))
         starts = np.searchsorted(once, np.arange(len(part) + 1) << BITS)
-        examples += [once[a:b] & ((1 << BITS) - 1) for a, b in zip(starts, starts[1:], strict=False)]
-    common = np.bincount(np.concatenate(examples), minlength=1 << BITS) >= MIN_DOCS  # what a text or two have only teaches those texts
+        once = (once & ((1 << BITS) - 1)).astype(np.int32)
+        seen += np.bincount(once, minlength=1 << BITS).astype(np.int32)
+        examples += [once[a:b].copy() for a, b in zip(starts, starts[1:], strict=False)]
+    common = seen >= MIN_DOCS  # what a text or two have only teaches those texts
     examples = [e[common[e]] for e in examples]
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
     bias = float(np.log(y.mean() / (1 - y.mean())))
@@ -109,21 +111,24 @@ def _dense(kept: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 def learn(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS):
     """A scoring function learned from at most ``train_docs`` labelled texts."""
-    drawn = labelled_sample(docs, labels, "toxic", train_docs)
-    texts = drawn.column("text").combine_chunks() if drawn.num_rows else pa.array([], pa.string())
-    return scorer(*train(texts, np.array(drawn.column("y").to_pylist(), float)))
+    return scorer(*fitted(docs, labels, "toxic", train_docs, train))
 
 
 def classify(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row of ``docs`` (columns ``doc_id, text``).
 
-    A null text is scored as an empty one: by the bias.
+    A null text is scored as an empty one: by the bias.  Repeated rows each get a row, whole texts of any length are
+    scored, a null doc_id is not held out, columns beside the two are not read, and an empty table gives no rows.
+    Without labels of both classes the score is that of the bias alone.
     """
     return scored(docs, learn(docs, labels, train_docs), THRESHOLD)
 
 
 def reject(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the rows scored at the threshold or above; the scoring tasks pass the others on, without a join."""
+    """``docs`` without the rows scored at the threshold or above; the scoring tasks pass the others on, without a join.
+
+    All columns stay as they are, whatever their names; null texts are scored as empty ones, repeated rows one by one.
+    """
     score, at = learn(docs, labels), docs.columns.index("text")
 
     def run(batches):
