@@ -65,9 +65,10 @@ def test_deduplicate_keeps_one(odd_docs, no_docs):
     assert simhash.deduplicate(no_docs).count() == 0
 
 
-@pytest.mark.parametrize("few", [64, 2])
-def test_deduplicate_by_likeness(spark, documents, monkeypatch, few):
+@pytest.mark.parametrize(("few", "tile"), [(16, 1024), (1, 2)])
+def test_deduplicate_by_likeness(spark, documents, monkeypatch, few, tile):
     monkeypatch.setattr(minhash, "FEW", few)
+    monkeypatch.setattr(minhash, "TILE_ROWS", tile)
     rng, words = np.random.default_rng(5), [f"w{i}" for i in range(500)]
     made = []
     for g in range(12):
