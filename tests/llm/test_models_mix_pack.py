@@ -105,12 +105,11 @@ def test_hot_source_is_sharded(spark, monkeypatch):
 def library():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(packing.vocabulary())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(packing.vocabulary())
 
 
 HARD = ["", " ", "\n\n word  two\t\tx \n", "don't 'LL <|endoftext|> 12345 +-=", "a\x1cb\x1d c\x85d\xa0e\u3000f \u2003 g", "éé e\u0301 ﬁ 日本語 😀😀  ", "x" * 300, " " * 40 + "y", "\r\n\r\n a\x0b\x0cb ", "١٢٣ ⅷ ²", "\u200b\ufeff z"]
+HARD += ["hello <|endoftext|> there", "<|endoftext|>", "<|endoftext|><|endoftext|> x", "in<|endoftext|>side", "ends <|endoftext|>", "  <|endoftext|>  ", "<|endoftext|", "<|<|endoftext|>|>", "<|ENDOFTEXT|>"]
 
 
 def test_ids_equal_the_library(library, documents):
@@ -119,14 +118,13 @@ def test_ids_equal_the_library(library, documents):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.text(max_size=40))
+@given(st.one_of(st.text(max_size=40), st.lists(st.one_of(st.sampled_from(["<|endoftext|>", "<|endoftext", "|>", " ", "  \n", "word", "<|"]), st.text(max_size=4)), max_size=8).map("".join)))
 def test_ids_of_any_text(text):
     from tokenizers import Tokenizer
 
     global _LIBRARY
     if _LIBRARY is None:
         _LIBRARY = Tokenizer.from_file(packing.vocabulary())
-        _LIBRARY.encode_special_tokens = True
     assert packing.encode(text, packing.vocabulary()).tolist() == _LIBRARY.encode(text, add_special_tokens=False).ids
 
 
@@ -140,7 +138,7 @@ def test_hilbert_is_a_walk():
 
 
 def test_pack_is_an_exact_cover(spark, library, documents, odd_docs, no_docs, monkeypatch):
-    monkeypatch.setattr(packing, "RANGE_DOCS", 40)
+    monkeypatch.setattr(packing, "RANGE_CHARS", 60_000)
     docs = documents.select("doc_id", "text").unionByName(odd_docs.where("doc_id is not null and doc_id != 2").select((F.col("doc_id") + 1000).alias("doc_id"), "text"))
     rows = packing.pack(docs, packing.vocabulary()).collect()
     ids = {r["doc_id"]: [*library.encode(r["text"] or "", add_special_tokens=False).ids, 0] for r in docs.collect()}
@@ -159,3 +157,34 @@ def test_pack_is_an_exact_cover(spark, library, documents, odd_docs, no_docs, mo
         assert at == whole if whole is not None else at <= 1024 and at & (at - 1) == 0
     assert set(pieces) == set(ids)
     assert packing.pack(no_docs, packing.vocabulary()).count() == 0
+
+
+def test_taken_equals_blocks_laid_out(spark, monkeypatch):
+    """Brute force: every shard's words in a list, cut into blocks, the selected ones counted word by word."""
+    monkeypatch.setattr(mixing, "SHARD_DOCS", 25)
+    docs = spark.createDataFrame([(i if i % 7 else None, f"w{i} " * (i * 7 % 90), ["a", "b", None, "hot"][min(3, i % 6)]) for i in range(300)], "doc_id bigint, text string, source string")
+    docs = docs.unionByName(docs.where("doc_id % 50 = 1"))  # repeated rows
+    rows = mixing._sized(docs)
+    block = max(1, min(1024, min(r["s"] for r in rows.groupBy("mix_source").agg(F.sum("mix_size").alias("s")).collect()) // 512))
+    laid, got_block = mixing._laid_out(rows, rows, lambda i: float(i % 3 + 1), 11, 1024)
+    assert got_block == block
+    want, times = [], []
+    shards = {}
+    for r in laid.withColumn("order", F.xxhash64(F.lit(11), "mix_key", "mix_size")).collect():
+        shards.setdefault((r["sid"], r["mix_shard"]), []).append(r)
+    for members in shards.values():
+        members.sort(key=lambda r: (r["order"], r["mix_key"]))
+        total = sum(r["mix_size"] for r in members)
+        r0 = members[0]
+        assert r0["mix_n"] == max(1, -(-total // block))
+        chosen = {b for b in range(r0["mix_n"]) if ((b + 1) * r0["mix_rest"] + r0["mix_start"]) // r0["mix_n"] > (b * r0["mix_rest"] + r0["mix_start"]) // r0["mix_n"]}
+        assert len(chosen) == r0["mix_rest"]
+        at = 0
+        for r in members:
+            words = range(at, at + r["mix_size"])
+            want.append((str(r["doc_id"]), r["mix_size"], r["mix_full"] * r["mix_size"] + sum(w // block in chosen for w in words)))
+            if words:
+                times += [(str(r["doc_id"]), r["text"])] * (r["mix_full"] + (words[len(words) // 2] // block in chosen))
+            at += r["mix_size"]
+    assert sorted((str(r["doc_id"]), r["size"], r["taken"]) for r in mixing.mix(docs).collect()) == sorted(want)
+    assert sorted((str(r["doc_id"]), r["text"]) for r in mixing.resample(docs).collect()) == sorted(times)

@@ -24,10 +24,11 @@ from veilspark.llm.common import quantile_splits, range_bucket, table, unit_hash
 
 LENGTH = 1024
 DIMS, BITS = 4, 7
-#: Documents whose keys place the range borders, as a range sort's own sampling does; every document is packed.
-BORDER_SAMPLE = 8000
-#: Documents of one range.
-RANGE_DOCS = 2000
+#: Keys that place the border of a range, about, as a range sort's own sampling does; every document is packed.
+#: A document is drawn as often as its share of all characters says, so ranges are even in text, not in rows.
+BORDER_SAMPLE = 20
+#: Characters of one range, about; tasks stream a range, so a larger one costs time and no memory.
+RANGE_CHARS = 4_000_000
 MOST_RANGES = 65_536
 
 #: The vocabulary's own white space (Unicode White_Space) as a character class.
@@ -39,10 +40,11 @@ _MOST_CACHED, _LONGEST_CACHED = 200_000, 48
 
 @lru_cache(2)
 def _encoder(path: str):
-    """A byte-level BPE with the vocabulary at ``path`` (a tokenizers JSON file) and its cache of chunks.
+    """A byte-level BPE with the vocabulary at ``path`` (a tokenizers JSON file), its cache of chunks, and its added tokens.
 
     The ranks come from the same file; ``tests/llm`` holds the ids against the
-    tokenizers library's own.  Special tokens' strings are ordinary text.
+    tokenizers library's own.  As there by default, an added token's string in a
+    text is that token's id, and the text is cut before and after it.
     """
     import json
 
@@ -50,9 +52,14 @@ def _encoder(path: str):
     import tiktoken
 
     with open(path, encoding="utf-8") as f:
-        model = json.load(f)["model"]
+        file = json.load(f)
+    model, added = file["model"], {t["content"]: t for t in file["added_tokens"]}
+    if any(t[k] for t in added.values() for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("an added token with conditions on its surroundings")
+    known = {c: np.array([t["id"]], "<u4").tobytes() for c, t in added.items()}
+    pattern = re.compile("(" + "|".join(map(re.escape, sorted(known, key=len, reverse=True))) + ")") if known else None
     ranks = {bytes(_byte_of(c) for c in piece): i for piece, i in model["vocab"].items() if all(c in _BYTES for c in piece) and i < len(model["merges"]) + 256}
-    return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), {}
+    return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), {}, known, pattern
 
 
 def _byte_map() -> dict[str, int]:
@@ -70,8 +77,14 @@ def _byte_of(c: str) -> int:
 
 
 def encode(text: str, path: str) -> np.ndarray:
-    """Ids of a whole text, without special tokens, as unsigned 32-bit numbers."""
-    encoder, cache = _encoder(path)
+    """Ids of a whole text as unsigned 32-bit numbers; no token is added at its ends."""
+    encoder, cache, known, pattern = _encoder(path)
+    if pattern is not None and (parts := pattern.split(text))[1:]:
+        return np.frombuffer(b"".join(known[p] if k % 2 else _plain(p, encoder, cache) for k, p in enumerate(parts)), "<u4")
+    return np.frombuffer(_plain(text, encoder, cache), "<u4")
+
+
+def _plain(text: str, encoder, cache: dict[str, bytes]) -> bytes:
     out = []
     for chunk in _CHUNK.findall(text):
         ids = cache.get(chunk)
@@ -82,7 +95,7 @@ def encode(text: str, path: str) -> np.ndarray:
                     cache.clear()
                 cache[chunk] = ids
         out.append(ids)
-    return np.frombuffer(b"".join(out), "<u4")
+    return b"".join(out)
 
 
 @lru_cache(1)
@@ -140,7 +153,7 @@ def _tokens(path: str, with_ids: bool):
                     narrow = [i.astype("<u2").tobytes() if not len(i) or i.max() < 65536 else b"\0" + i.tobytes() for i in ids]
                     yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(keys), pa.array(narrow, pa.binary())], ["doc_id", "key", "ids"])
                 else:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys)], ["key"])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), part.column("drawn")], ["key", "drawn"])
 
     return run
 
@@ -221,14 +234,17 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
     token; every id lies in exactly one piece.  Sequences hold ``length``
     tokens, or a smaller power of two at a range's end.  Copies have equal keys
     up to a hash of their doc_id, which spreads a hot group over ranges.
-    Repeated rows are packed one by one; an empty table gives no rows.
+    Repeated rows are packed one by one, texts of any length whole; a null doc_id
+    stays null; other columns are not read; an empty table gives no rows.
     """
     rows = docs.select(F.col("doc_id").cast("bigint"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("spread", F.xxhash64("doc_id", F.lit("spread")))
-    n = rows.count()
-    ranges = min(MOST_RANGES, ceil(n / RANGE_DOCS))
-    sample = rows.where(unit_hash("doc_id", F.lit("borders")) < BORDER_SAMPLE / max(1, n))
-    splits = quantile_splits(sample.mapInArrow(_tokens(path, False), "key bigint"), "key", ranges)
+    total = rows.agg(F.sum(F.length("text") + 1)).first()[0] or 0
+    ranges = min(MOST_RANGES, ceil(total / RANGE_CHARS))
+    drawn = F.floor((F.length("text") + 1) * (BORDER_SAMPLE * ranges / max(1, total)) + unit_hash("doc_id", F.lit("borders"))).cast("int")
+    sample = rows.withColumn("drawn", drawn).where("drawn > 0")
+    keys = sample.mapInArrow(_tokens(path, False), "key bigint, drawn int").select("key", F.explode(F.sequence(F.lit(1), "drawn")))
+    splits = quantile_splits(keys, "key", ranges)
     keyed = rows.mapInArrow(_tokens(path, True), "doc_id bigint, key bigint, ids binary").withColumn("range", range_bucket(F.col("key"), splits).cast("bigint"))
     ordered = keyed.repartition(max(1, ranges), "range").sortWithinPartitions("range", "key", "doc_id")
     schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
