@@ -15,7 +15,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import WORD, materialize, row_key, table, unit_hash
+from veilspark.llm.common import WORD, materialize, row_key, table
 
 MOST_REPEATS = 3
 #: Words of a block, where the smallest source has 512 blocks of that size; else fewer, down to one.
@@ -69,18 +69,19 @@ def sainte_lague(votes: list[float], seats: int, caps: list[int]) -> list[int]:
     return out
 
 
-def mix(docs: DataFrame, weights=lambda i: float(i % 3 + 1), seed: int = 11, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``doc_id, size, source_size, target, taken`` for every row (columns ``doc_id, text, source``).
+def _sized(docs: DataFrame) -> DataFrame:
+    """Adds ``mix_key, mix_source, mix_size``."""
+    size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("bigint")
+    return docs.withColumns({"mix_key": row_key("doc_id", "text"), "mix_source": F.col("source").cast("string"), "mix_size": size})
 
-    ``weights`` maps a source's rank (code-point order, null last) to its
-    weight.  A null text has size 0 and takes 0, as does a source without
-    words.  ``taken`` counts repeats and is at most three times ``size``.
-    Repeated rows are dealt with one by one; an empty table gives no rows.
+
+def _laid_out(sized: DataFrame, rows: DataFrame, weights, seed: int, block_words: int) -> tuple[DataFrame, int]:
+    """All rows of ``sized`` with their place ``mix_end`` in their shard and the shard's selection, and the words of a block.
+
+    ``rows`` are the same rows' ``mix_key, mix_source, mix_size``, as a table.
     """
-    spark = docs.sparkSession
-    size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("bigint")
-    rows = materialize(docs.select(F.col("doc_id").cast("bigint"), F.col("source").cast("string"), size.alias("size")), "sizes")
-    found = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("docs")).limit(MOST_SOURCES + 1).collect()
+    spark = sized.sparkSession
+    found = rows.groupBy(F.col("mix_source").alias("source")).agg(F.sum("mix_size").alias("size"), F.count("*").alias("docs")).limit(MOST_SOURCES + 1).collect()
     if len(found) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
     found.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-32-be", "surrogatepass")))
@@ -90,21 +91,37 @@ def mix(docs: DataFrame, weights=lambda i: float(i % 3 + 1), seed: int = 11, blo
     block = max(1, min(block_words, small // 512))
     per_shard = max(SHARD_DOCS, sum(r["docs"] for r in found) // MOST_SHARDS)
     plan = [(r["source"], i, -(-r["docs"] // per_shard), sizes[i], target[i]) for i, r in enumerate(found)]
-    sources = _few(spark.createDataFrame(plan, "source string, sid int, shards bigint, source_size bigint, target double"), len(plan))
-    dealt = rows.join(sources.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    order = F.xxhash64(F.lit(seed), "doc_id", "size")
-    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.col("shards")))
-    parts = sorted((r["sid"], r["shard"], r["size"]) for r in dealt.groupBy("sid", "shard").agg(F.sum("size").alias("size")).collect())
+    sources = _few(spark.createDataFrame(plan, "s string, sid int, shards bigint, mix_source_size bigint, mix_target double"), len(plan))
+    shard = F.pmod(F.xxhash64(F.lit(seed + 1), "mix_key"), F.col("shards"))
+    dealt = lambda df: df.join(sources, F.col("mix_source").eqNullSafe(F.col("s"))).withColumn("mix_shard", shard).drop("s", "shards")
+    parts = sorted((r["sid"], r["mix_shard"], r["size"]) for r in dealt(rows).groupBy("sid", "mix_shard").agg(F.sum("mix_size").alias("size")).collect())
     blocks = _grouped(parts, len(found), block)
     quotas = sainte_lague(target, round(sum(target) / block), [MOST_REPEATS * sum(b) for b in blocks])
     shares = [q for i, b in enumerate(blocks) for q in sainte_lague([float(x) for x in b], quotas[i], [MOST_REPEATS * x for x in b])]
     seeded = lambda s, k, n: zlib.crc32(f"{seed}:{s}:{k}".encode()) % max(1, n)
     quota = [(s, k, max(1, n), q // max(1, n), q % max(1, n), seeded(s, k, n)) for (s, k, _), n, q in zip(parts, (n for b in blocks for n in b), shares, strict=True)]
-    quota = _few(spark.createDataFrame(quota, "sid int, shard bigint, n bigint, full bigint, rest bigint, start bigint"), len(quota))
-    within = Window.partitionBy("sid", "shard").orderBy(order, "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    dealt = dealt.withColumn("end", F.sum("size").over(within)).join(quota, ["sid", "shard"])
-    dealt = dealt.withColumn("chosen", _chosen("end", block) - _chosen("(end - size)", block))
-    return dealt.select("doc_id", "size", "source_size", "target", (F.col("full") * F.col("size") + F.col("chosen")).alias("taken"))
+    quota = _few(spark.createDataFrame(quota, "sid int, mix_shard bigint, mix_n bigint, mix_full bigint, mix_rest bigint, mix_start bigint"), len(quota))
+    order = F.xxhash64(F.lit(seed), "mix_key", "mix_size")
+    within = Window.partitionBy("sid", "mix_shard").orderBy(order, "mix_key").rowsBetween(Window.unboundedPreceding, 0)
+    laid = dealt(sized).withColumn("mix_end", F.sum("mix_size").over(within))
+    return laid.join(quota, ["sid", "mix_shard"]), block
+
+
+def mix(docs: DataFrame, weights=lambda i: float(i % 3 + 1), seed: int = 11, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """``doc_id, size, source_size, target, taken`` for every row (columns ``doc_id, text, source``).
+
+    ``weights`` maps a source's rank (code-point order, null last) to its
+    weight.  A null text has size 0 and takes 0, as does a source without
+    words.  ``taken`` counts repeats and is at most three times ``size``.
+    A row without doc_id is placed by its text and keeps its null.  Repeated
+    rows are dealt with one by one; other columns are not read; texts of any
+    length count whole; an empty table gives no rows.
+    """
+    rows = materialize(_sized(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "mix_key", "mix_source", "mix_size"), "sizes")
+    laid, block = _laid_out(rows, rows, weights, seed, block_words)
+    chosen = _chosen("mix_end", block) - _chosen("(mix_end - mix_size)", block)
+    taken = F.col("mix_full") * F.col("mix_size") + chosen
+    return laid.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), taken.alias("taken"))
 
 
 def _few(df: DataFrame, rows: int) -> DataFrame:
@@ -122,24 +139,29 @@ def _grouped(parts: list[tuple[int, int, int]], n: int, block: int) -> list[list
 
 def _chosen(at: str, block: int):
     """Words of the chosen blocks before a place: block b is chosen where floor((b rest + start) / n) steps up."""
-    count = lambda b: f"(({b}) * rest + start) div n"
     b = f"({at} div {block})"
-    return F.expr(f"{block} * ({count(b)}) + ({at} - {b} * {block}) * (({count(b + ' + 1')}) - ({count(b)}))")
+    return F.expr(f"{block} * ({_before(b)}) + ({at} - {b} * {block}) * (({_before(b + ' + 1')}) - ({_before(b)}))")
+
+
+def _before(b: str) -> str:
+    """Chosen blocks before block ``b``."""
+    return f"(({b}) * mix_rest + mix_start) div mix_n"
 
 
-def resample(docs: DataFrame, seed: int = 11, **options) -> DataFrame:
-    """``docs`` as the mix takes them: each row as many times as ``taken / size`` says, a fraction being a seeded chance of one more.
+def resample(docs: DataFrame, weights=lambda i: float(i % 3 + 1), seed: int = 11, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """``docs`` as the mix takes them, whole: a row comes once for each whole pass of its shard, and once more where the
+    block that holds its middle word is chosen.
 
-    A row without doc_id is known by its text.
+    The rows themselves are laid out in their shards, so repeated rows are decided one by one and a row without doc_id
+    needs no key to be met again.  Rows without words are in no block and go.
     """
-    share = F.col("taken") / F.col("size")
-    extra = (unit_hash(F.lit(seed), F.lit("extra"), "doc_id") < share - F.floor(share)).cast("int")
-    times = (F.floor(share) + extra).cast("int")
-    known = docs.withColumn("key_of_row", row_key("doc_id", "text"))
-    counts = mix(known.withColumn("doc_id", F.col("key_of_row")), seed=seed, **options).where("taken > 0").groupBy(F.col("doc_id").alias("key_of_row")).agg(F.max(times).alias("times"))
-    counts = materialize(counts.where("times > 0"), "times")
-    # By shuffle at every size: the counts grow with the documents, and they are the side that is hashed.
-    return known.join(counts.hint("shuffle_hash"), "key_of_row").withColumn("copy", F.explode(F.sequence(F.lit(1), "times"))).select(*docs.columns)
+    sized = _sized(docs.select(F.struct("*").alias("row"), "doc_id", "text", "source")).drop("doc_id", "text", "source")
+    rows = materialize(sized.select("mix_key", "mix_source", "mix_size"), "sizes")
+    laid, block = _laid_out(sized, rows, weights, seed, block_words)
+    b = f"((mix_end - (mix_size + 1) div 2) div {block})"
+    times = F.col("mix_full") + F.expr(f"({_before(b + ' + 1')}) - ({_before(b)})")
+    out = laid.where("mix_size > 0").withColumn("mix_times", times.cast("int")).where("mix_times > 0")
+    return out.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), "mix_times"))).select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
