@@ -1,7 +1,11 @@
 import hashlib
 import re
+import time
 import unicodedata
+from html.parser import HTMLParser
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from veilspark.llm import exact, html, pii, urls
@@ -163,6 +167,109 @@ def test_names_of_whole_pages_are_no_boilerplate():
         assert html.main_text(f"<p>{story}</p><div class='{name}'>{story}</div>") == story.strip()
 
 
+def plain_region(lengths, articles, window=3):
+    """The definition, line by line: positions in steps, each hill walked, no sums kept."""
+    places, where = [], []
+    for k, n in enumerate(lengths):
+        if k and articles[k] != articles[k - 1]:
+            places += [(0, 0)] * window
+        where.append(len(places))
+        places.append((n, articles[k]))
+    block = lambda i: sum(places[j][0] for j in range(i - window + 1, i + 1) if 0 <= j < len(places))
+    hills, now = [], None
+    for i in range(len(places) + window):
+        if block(i) > 0:
+            now = now or [i, i, 0, 0, places[i][1] if i < len(places) else 0]
+            now[1], now[2] = i, max(now[2], block(i))
+            now[3] += places[i][0] if i < len(places) else 0
+        elif now:
+            hills.append(now)
+            now = None
+    if not hills:
+        return [False] * len(lengths)
+    level = min(120, max(h[2] for h in hills) // 4)
+    told = max([h[3] for h in hills if h[4]], default=0)
+    good = [h for h in hills if h[4] or (h[2] >= level and h[3] >= told)]
+    if not told:
+        good = [[good[0][0], good[-1][1]]]
+    return [n > 0 and any(h[0] <= i <= h[1] for h in good) for i, n in zip(where, lengths, strict=True)]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from([0, 0, 3, 20, 45, 130, 400]), st.sampled_from([0, 0, 0, 1, 1, 2])), max_size=30))
+def test_region_equals_definition(lines):
+    lengths, articles = [n for n, _ in lines], [a for _, a in lines]
+    assert html.region(lengths, articles) == plain_region(lengths, articles)
+
+
+class PlainPage(HTMLParser):
+    """Lines of the tables' pages by the standard library's parser."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.open, self.lines, self.text = [], [], ""
+        self.feed(page)
+        self.close()
+        self.end()
+
+    def end(self):
+        if text := " ".join(self.text.split()):
+            names = [t for t, _ in self.open]
+            boiler = any(t in ("nav", "footer", "aside", "header", "form") or c in ("ad", "sidebar", "comments") for t, c in self.open)
+            self.lines.append((text, boiler, int("article" in names)))
+        self.text = ""
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "br":
+            self.text += " "
+        if tag in ("p", "div", "ul", "li", "nav", "article", "footer", "h1", "h2", "aside", "header", "form", "body", "table", "tr", "td", "blockquote", "section"):
+            self.end()
+        if tag == "p" and any(t == "p" for t, _ in self.open):
+            while self.open.pop()[0] != "p":
+                pass
+        if tag not in ("br", "meta", "img", "input", "link", "hr"):
+            self.open.append((tag, dict(attrs).get("class")))
+
+    def handle_endtag(self, tag):
+        if tag in ("p", "div", "ul", "li", "nav", "article", "footer", "h1", "h2", "aside", "header", "form", "body", "table", "tr", "td", "blockquote", "section"):
+            self.end()
+        if any(t == tag for t, _ in self.open):
+            while self.open.pop()[0] != tag:
+                pass
+
+    def handle_data(self, data):
+        if not any(t in ("script", "style", "title", "head") for t, _ in self.open):
+            self.text += data
+
+
+def test_pages_equal_brute_force(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").limit(200)
+    got = {r["page_id"]: r["text"] for r in html.extract(pages.unionByName(pages.limit(3))).collect()}
+    for r in pages.collect():
+        lines = PlainPage(r["html"]).lines
+        kept = plain_region([0 if b else len(t) for t, b, _ in lines], [a for *_, a in lines])
+        assert got[r["page_id"]] == "\n".join(t for (t, *_), k in zip(lines, kept, strict=True) if k)
+    assert len(got) == 200
+
+
+def test_markup_that_is_odd():
+    story = "the story goes on " * 20
+    p = lambda t: f"<p>{t}</p>"
+    lines = lambda page: [x[:5].strip() for x in html.main_text(page).split("\n")]
+    assert lines(f"<body class='has-sidebar'>{p('one ' + story)}</body>") == ["one t"]
+    assert lines(f"<body>{p('one ' + story)}<article class='teaser'><p>two teaser</p></article>{p('three ' + story)}</body>") == ["one t", "two t", "three"]
+    assert lines(f"<article>{p('one ' + story)}<svg/>{p('two ' + story)}<iframe src=x>{p('three ' + story)}<svg><path/></svg></article>") == ["one t", "two t", "three"]
+    assert lines(f"<article><header><h1>Title</h1></header><p class='related-work'>rel {story}</p><p>x</p></article><p>after</p>") == ["Title", "rel t", "x"]
+    assert lines(f"<script>var a = 1; <p>{story}</p><style>p{{}}<div>more {story}</div><!-- open <div>last {story}</div>") == ["the s", "more", "last"]
+    assert html.main_text("<title>x" + p(story)) == story.strip()
+    for piece, most in (("<svg>", 0), ("<!--", 0), ("<b><p>", 0), ("<div>", 0), ("</p>", 0), ("<script>", 0), ("<p ", 3), ("<a href='", 9)):
+        began = time.perf_counter()
+        assert len(html.main_text(piece * 40_000)) <= most * 40_000
+        assert time.perf_counter() - began < 5
+    page = "<article>" + p(story) * 5000 + "</article>"
+    assert html.main_text(page) == "\n".join([story.strip()] * 5000)
+
+
 def plain_url(url):
     m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
     host, path = (re.sub("[A-Z]", lambda x: x[0].lower(), m[1]), m[2]) if m else ("", "")

@@ -1,9 +1,9 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped so that each block element starts a line.  Lines of menus,
-forms, notices and the like count as blank.  Sums of text lengths over sliding
-windows of lines show where text surges and dives; what stands between is the
-main text.
+forms, notices and the like count as blank, and blank lines stand at the borders
+of article elements.  Sums of text lengths over sliding windows of lines show
+where text surges and dives; what stands between is the main text.
 """
 
 from __future__ import annotations
@@ -21,10 +21,15 @@ from veilspark.llm.common import table
 
 #: Lines of a window.
 WINDOW = 3
-
-_RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|object|textarea|select|head)\b[^>]*>.*?(?:</\1\s*>|\Z)|<![^>]*>|<\?[^>]*>", re.I | re.S)
+#: The sum that a hill needs outside article elements, at most.
+LEVEL = 120
+
+#: Elements whose content is no text of the page.
+_RAW = re.compile(r"<!--|<(script|style|noscript|template|svg|iframe|object|textarea|select|head|title)\b(?:[^<>\"']|\"[^\"]*\"|'[^']*')*>|<![^>]*>|<\?[^>]*>", re.I)
+_CLOSE = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "noscript", "template", "svg", "iframe", "object", "textarea", "select", "head", "title")}
+#: Where the content of one of these ends that is never closed.
+_CODE, _NEXT = {"script", "style", "head", "title"}, re.compile(r"<(?:body|article|main|section|div|p|h[1-6]|nav|header|footer|aside|ul|table)\b|</(?:head|body|html)\b", re.I)
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9-]*)([^<>\"']*(?:\"[^\"]*\"[^<>\"']*|'[^']*'[^<>\"']*)*)>")
-_HEAD = re.compile(r"<title\b[^>]*>.*?(?:</title\s*>|\Z)", re.I | re.S)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _BOILER = re.compile(r"ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|comments?|disqus|replies|sidebar|menu|nav\w*|breadcrumbs?|footer|header|masthead|share|social|related|recommend\w*|newsletter|subscribe|signup|login|search|popup|modal|copyright|pagination|widget|complementary|contentinfo", re.I)
 #: Parts that may stand beside such a word in a name; with any other ("no-sidebar", "has-header-image") the name says something else.
@@ -48,17 +53,63 @@ def _boilerplate(names: str) -> bool:
     return False
 
 
-def lines_of(page: str) -> list[tuple[str, bool, bool]]:
-    """Lines of a page: text, whether it is boilerplate by its elements, whether it stands in an article."""
-    page = _HEAD.sub("", _RAW.sub("", page))
+def _without_raw(page: str) -> str:
+    """The page without comments, declarations and elements that hold no text, in linear time.
+
+    A self-closed element and one that is never closed lose their tag only; an unclosed script, style, head or title
+    ends where the next block element begins.
+    """
+    out, at, gone = [], 0, set()
+    while m := _RAW.search(page, at):
+        out.append(page[at : m.start()])
+        tag, at = (m[1] or "").lower(), m.end()
+        if m[0] == "<!--":
+            end = page.find("-->", at) if "<!--" not in gone else -1
+            if end < 0:
+                gone.add("<!--")
+                end = page.find(">", at) - 2
+            at = end + 3 if end >= at - 2 else len(page)
+        elif tag and not m[0].endswith("/>"):
+            close = _CLOSE[tag].search(page, at) if tag not in gone else None
+            if close:
+                at = close.end()
+            else:
+                gone.add(tag)
+                if tag in _CODE:
+                    nearest = _NEXT.search(page, at)
+                    at = nearest.start() if nearest else len(page)
+    out.append(page[at:])
+    return "".join(out)
+
+
+def lines_of(page: str) -> list[tuple[str, bool, int]]:
+    """Lines of a page: text (empty where boilerplate), whether it is boilerplate by its elements, and the number of the
+    outermost article or main element that it stands in (0 for none)."""
+    page = _without_raw(page)
     lines, parts, at = [], [], 0
-    elements, stack = [], []  # elements as (parent, tag, boilerplate, article, article proper), and the open ones' places
+    elements, stack, open_ = [], [], {}  # elements as (parent, tag, boilerplate, article, article proper); the open ones' places, by tag too
 
     def end():
         if text := " ".join(entities.unescape("".join(parts)).split()):
             lines.append((text, stack[-1] if stack else -1))
         parts.clear()
 
+    def close(n: int):
+        for k in stack[n:]:
+            open_[elements[k][1]] -= 1
+        del stack[n:]
+
+    def last(tag: str, until: set = frozenset()) -> int:
+        """The place on the stack of the innermost open element of this name, if no element of ``until`` stands in between; else -1."""
+        if open_.get(tag):
+            for n in range(len(stack) - 1, -1, -1):
+                name = elements[stack[n]][1]
+                if name == tag:
+                    return n
+                if name in until:
+                    break
+        return -1
+
     for m in _TAG.finditer(page):
         parts.append(page[at : m.start()])
         at = m.end()
@@ -67,34 +118,31 @@ def lines_of(page: str) -> list[tuple[str, bool, bool]]:
             parts.append(" ")
         if tag in _BLOCKS:
             end()
-        if tag in _VOID:
+        if tag in _VOID or (tag in _CLOSE and m[0].endswith("/>")):
             continue
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if elements[stack[k]][1] == tag:
-                    del stack[k:]
-                    break
-        else:
-            names = " ".join(x for g in _NAMES.findall(m[3]) for x in g if x) if m[3] else ""
-            article = tag in ("article", "main") or (bool(names) and _ARTICLE.search(names) is not None)
-            named = bool(names) and _boilerplate(names)
-            boiler = tag not in _WHOLE and (tag in _BOILER_TAGS or (named and not article))
-            if tag == "p":  # an open paragraph ends where the next begins
-                for k in range(len(stack) - 1, -1, -1):
-                    if elements[stack[k]][1] == "p":
-                        del stack[k:]
-                        break
-                    if elements[stack[k]][1] in _BLOCKS:
-                        break
-            elements.append((stack[-1] if stack else -1, tag, boiler, article, article and not named))
-            stack.append(len(elements) - 1)
+            if (n := last(tag)) >= 0:
+                close(n)
+            continue
+        if tag == "p" and (n := last("p", _BLOCKS - {"p"})) >= 0:  # an open paragraph ends where the next begins
+            close(n)
+        parent = stack[-1] if stack else -1
+        names = " ".join(x for g in _NAMES.findall(m[3]) for x in g if x) if m[3] else ""
+        article = tag in ("article", "main") or (bool(names) and _ARTICLE.search(names) is not None)
+        named = bool(names) and _boilerplate(names)
+        inside = parent >= 0 and elements[parent][3]
+        heads = tag == "header" and inside  # an article's own header holds its title
+        boiler = tag not in _WHOLE and ((tag in _BOILER_TAGS and not heads) or (named and not article))
+        elements.append((parent, tag, boiler, article or inside, article and not named))
+        stack.append(len(elements) - 1)
+        open_[tag] = open_.get(tag, 0) + 1
     parts.append(page[at:])
     end()
     boilers = _boilers(elements, lines)
-    articles = [False] * (len(elements) + 1)
-    for k, (parent, _, _, article, _) in enumerate(elements):
-        articles[k] = article or articles[parent]
-    return [("" if boilers[e] else text, boilers[e], articles[e]) for text, e in lines]
+    outermost = [0] * (len(elements) + 1)
+    for k, (parent, _, _, inside, _) in enumerate(elements):
+        outermost[k] = outermost[parent] or (k + 1 if inside else 0)
+    return [("" if boilers[e] else text, boilers[e], outermost[e]) for text, e in lines]
 
 
 def _boilers(elements: list[tuple], lines: list[tuple[str, int]]) -> list[bool]:
@@ -121,37 +169,48 @@ def _boilers(elements: list[tuple], lines: list[tuple[str, int]]) -> list[bool]:
     return out
 
 
+def region(lengths: list[int], articles: list[int], window: int = WINDOW) -> list[bool]:
+    """Which lines are main text, by the distribution of line blocks.
+
+    A block is a window of lines; a line of boilerplate has length 0, and ``window`` blank lines stand at the borders of
+    article elements (``articles``: each line's, 0 for none).  Where sums of blocks are above zero they form hills.
+    A hill counts where its highest sum reaches the level: a quarter of the page's highest and at most LEVEL; within an
+    article element, any.  Where article elements hold text, a hill outside them also needs as much text as the
+    article hill with the most.  Text surges where the first hill that counts leaves zero and dives where the last one
+    is back there; without article elements all that stands between stays, else each hill that counts does.
+    """
+    padded, at = [], []
+    for k, n in enumerate(lengths):
+        if k and articles[k] != articles[k - 1]:
+            padded += [0] * window
+        at.append(len(padded))
+        padded.append(n)
+    if not any(padded):
+        return [False] * len(lengths)
+    blocks = np.convolve(np.array(padded, np.int64), np.ones(window, np.int64))  # block k ends at line k
+    live = np.concatenate(([False], blocks > 0, [False]))
+    surges, dives = np.flatnonzero(live[1:] & ~live[:-1]), np.flatnonzero(live[:-1] & ~live[1:])
+    owner = {p: articles[k] for k, p in enumerate(at)}
+    hills = [(a, b, bool(owner.get(a)), int(blocks[a:b].max()), sum(padded[a:b])) for a, b in zip(surges.tolist(), dives.tolist(), strict=True)]
+    level = min(LEVEL, blocks.max() // 4)
+    told = max((size for _, _, article, _, size in hills if article), default=0)
+    counts = [(a, b) for a, b, article, top, size in hills if article or (top >= level and size >= told)]
+    if not told:
+        counts = [(counts[0][0], counts[-1][1])]
+    keep = np.zeros(len(padded) + window, bool)
+    for a, b in counts:
+        keep[a:b] = True
+    return [bool(keep[p] and padded[p]) for p in at]
+
+
 def main_text(page: str | None, window: int = WINDOW) -> str:
     """The text between the surge and the dive of the line-block distribution.
 
     A null, empty or text-less page gives an empty text.
     """
     lines = lines_of(page or "")
-    article = any(a and not b for _, b, a in lines)
-    lengths = np.array([0 if b or (article and not a) else len(t) for t, b, a in lines], np.int64)
-    if not lengths.any():
-        return ""
-    if not article:
-        lengths = _core(lengths, window)
-    blocks = np.convolve(lengths, np.ones(window, np.int64))[window - 1 :]  # sum of a line and those after it
-    live = np.flatnonzero(lengths)
-    surge = int(np.flatnonzero(blocks > 0)[0])
-    dive = int(live[-1])
-    return "\n".join(t for (t, _, _), n in zip(lines[surge : dive + 1], lengths[surge : dive + 1], strict=True) if n)
-
-
-def _core(lengths: np.ndarray, window: int) -> np.ndarray:
-    """Without an article element: from where window sums first surge over a share of the densest to where they last dive under half of it.
-
-    Blank lines take no part in the sums, so an advert between paragraphs ends nothing, and all lines between stay.
-    """
-    live = np.flatnonzero(lengths)
-    blocks = np.convolve(lengths[live], np.ones(window, np.int64))[(window - 1) // 2 :][: len(live)]
-    level = min(120, blocks.max() // 4)
-    surge, dive = np.flatnonzero(blocks >= level)[0], np.flatnonzero(2 * blocks >= level)[-1]
-    out = np.zeros_like(lengths)
-    out[live[surge : dive + 1]] = lengths[live[surge : dive + 1]]
-    return out
+    kept = region([0 if b else len(t) for t, b, _ in lines], [a for _, _, a in lines], window)
+    return "\n".join(t for (t, _, _), k in zip(lines, kept, strict=True) if k)
 
 
 def _extract(batches):
@@ -163,7 +222,11 @@ def _extract(batches):
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """``page_id, url, text, n_chars`` of every row (columns ``page_id, url, html``); a null page has an empty text."""
+    """``page_id, url, text, n_chars`` of every row (columns ``page_id, url, html``).
+
+    A null page has an empty text; pages of any length are read whole, in linear time; repeated rows each get a row,
+    null ids and urls stay null, other columns are not read, and an empty table gives no rows.
+    """
     rows = pages.select(F.col("page_id").cast("bigint"), F.col("url").cast("string"), F.col("html").cast("string"))
     return rows.mapInArrow(_extract, "page_id bigint, url string, text string, n_chars bigint")
 
