@@ -137,3 +137,41 @@ def test_embeddings_in_chunks(spark, monkeypatch):
     links = (u @ u.T >= 0.98).sum(1) - 1
     assert {r["vec_id"]: r["n_links"] for r in embeddings.near_duplicates(df).collect()} == dict(enumerate(links.tolist()))
     assert embeddings.near_duplicates(df.where("false")).count() == 0
+
+
+def test_embeddings_without_or_with_repeated_ids(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.01], 0), (None, [1.0, 0.02], 0), (None, [-1.0, 0.0], 0), (None, [-1.0, 0.0], 0), (3, [0.0, 1.0], 1), (None, None, 0), (1, [1.0, 0.0], 0)]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id bigint, embedding array<float>, label int, cid string, n int")
+    got = sorted(map(str, [(r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embeddings.near_duplicates(df).collect()]))
+    want = [(1, 3, 1, True), (1, 0, 1, True), (2, 3, 1, False), (None, 3, 1, False), (None, 1, None, True), (None, 1, None, True), (3, 0, 3, True), (None, 0, None, True), (1, 3, 1, True)]
+    assert got == sorted(map(str, want))
+
+
+def test_recall_of_embeddings(spark):
+    """Ids divisible by 50 against all rows, at the hardest cosines."""
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((3000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    away = rng.standard_normal((3000, 64))
+    away -= (away * x).sum(1)[:, None] * x
+    away /= np.linalg.norm(away, axis=1)[:, None]
+    cos = rng.uniform(0.9801, 0.984, 3000)[:, None]
+    both = np.float32(np.concatenate([x, cos * x + np.sqrt(1 - cos * cos) * away]))
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(both)], "vec_id bigint, embedding array<float>, label int")
+    links = {r["vec_id"]: r["n_links"] for r in embeddings.near_duplicates(df).collect()}
+    u = both.astype(float) / np.linalg.norm(both.astype(float), axis=1)[:, None]
+    asked = range(0, 6000, 50)
+    want = (u[::50] @ u.T >= 0.98).sum(1) - 1
+    assert want.sum() >= 115 and sum(links[i] for i in asked) >= 0.99 * want.sum() and all(links[i] <= k for i, k in zip(asked, want, strict=True))
+
+
+def test_unlike_vectors_hardly_meet():
+    """Pairs that share a cell, all groups together, grow in proportion to the vectors."""
+    rng = np.random.default_rng(8)
+    met = []
+    for n in (500, 4000, 32000):
+        groups, lines = embeddings.shape(n)
+        u = rng.standard_normal((n, 64))
+        keys = embeddings.cells(u / np.linalg.norm(u, axis=1)[:, None], groups, lines)
+        met.append(sum(int((c * (c - 1) // 2).sum()) for c in (np.unique(keys[:, g], return_counts=True)[1] for g in range(groups))) / n)
+    assert max(met) <= 4 and met[2] <= 3 * met[0]

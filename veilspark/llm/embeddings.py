@@ -1,32 +1,41 @@
 """Embedding near-duplicates by collision-counting projections.
 
-Every distinct vector is projected on ``groups * per_group`` random lines.  Two
-vectors collide on a line when the second lies in the window centred on the
-first.  Lines come in small groups; the windows of a group are cut into grid
-cells, so that a query meets just the cells its windows touch.  There, pairs
-that collide on the whole group have their collisions counted over all lines;
-pairs that reach the recall-calibrated count are verified by cosine in double
-precision.  Copies of a vector are one row with a multiplicity throughout.
+Every distinct vector is projected on many random lines.  On a line a vector
+collides with a query when it lies in the window centred on the query.  So that
+only few pairs are counted, lines come in groups that cut the projections into
+cells, and pairs that share a cell of some group are met there: within it the
+members are sorted by one projection, each query meets its window of that order,
+collisions are counted over all counting lines, and pairs that reach the
+recall-calibrated count are verified by cosine in double precision.  Lines of a
+group and groups follow from the number of vectors, so that unlike pairs meet
+about once in ten vectors and a pair at the least cosine is missed once in
+10,000.  Copies of a vector are one row with a multiplicity throughout.
 """
 
 from __future__ import annotations
 
 from functools import lru_cache
-from itertools import product
-from math import comb, erf, sqrt
+from math import ceil, comb, erf, exp, log, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import materialize, table
+from veilspark.llm.common import materialize, mix64, table
 from veilspark.llm.components import connected_components
 
 COSINE = 0.98
-GROUPS, PER_GROUP = 4, 3
+#: Lines that collisions are counted on, and those of them that are counted first.
+COUNTED, FIRST = 64, 16
 #: Half a window, in standard deviations of the projected difference of a pair at the least cosine.
 REACH = 2.25
+#: Width of a cell on a line; unit vectors project with a standard deviation of one.
+CELL = 1.8
+#: Share of pairs at the least cosine that no group brings together.
+MISSED = 1e-4
+#: Vectors unlike a given one that a group's cell holds, on average.
+UNLIKE = 0.1
 #: Rows of a cell that meet in one task; larger cells are dealt in pairs of chunks.
 CHUNK = 2048
 #: Query rows compared at once within a task.
@@ -34,15 +43,27 @@ STRIP = 128
 
 
 @lru_cache(8)
-def _lines(dim: int, count: int, seed: int = 7) -> np.ndarray:
+def _lines(dim: int, count: int, seed: int) -> np.ndarray:
     return np.random.default_rng([seed, dim]).standard_normal((dim, count))
 
 
+def together(distance: float, width: float = CELL) -> float:
+    """The chance that two points at a distance fall into one cell of a random line."""
+    x = width / distance
+    return erf(x / sqrt(2)) - 2 / (sqrt(2 * pi) * x) * (1 - exp(-x * x / 2))
+
+
+def shape(vectors: int, cosine: float = COSINE) -> tuple[int, int]:
+    """Groups and lines of a group for so many vectors of a label; independent vectors stand at a distance of about sqrt(2)."""
+    lines = max(3, ceil(log(max(2, vectors) / UNLIKE) / -log(together(sqrt(2)))))
+    return max(1, ceil(log(MISSED) / log(1 - together(sqrt(2 - 2 * cosine)) ** lines))), lines
+
+
 def window(cosine: float = COSINE, reach: float = REACH) -> float:
     return reach * sqrt(2 - 2 * cosine)
 
 
-def least_count(count: int, reach: float = REACH, recall: float = 0.99999) -> int:
+def least_count(count: int, reach: float = REACH, recall: float = 0.999995) -> int:
     """The most collisions that a pair at the least cosine still reaches with this recall."""
     p = erf(reach / sqrt(2))
     tail = 0.0
@@ -58,41 +79,31 @@ def _units(column: pa.Array) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _cells(points: np.ndarray, group: int, w: float) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """Home cell of each point; (row, cell) of all the cells that its windows touch."""
-    side = 4 * w
-    key = lambda c: ((c + 512) * np.array([1 << 20, 1 << 10, 1][-c.shape[1] :])).sum(1) + (np.int64(group) << 40)
-    home = np.floor(points / side).astype(np.int64)
-    low, high = np.floor((points - w) / side).astype(np.int64), np.floor((points + w) / side).astype(np.int64)
-    touched = []
-    for corner in product((0, 1), repeat=points.shape[1]):
-        pick = np.array(corner, bool)
-        rows = np.flatnonzero(((high > low) | ~pick).all(1))
-        touched.append((rows, key(np.where(pick, high[rows], low[rows]))))
-    return key(home), touched
+def cells(unit: np.ndarray, groups: int, lines: int) -> np.ndarray:
+    """One key for each row and group: its cell on the group's lines, whose borders are shifted at random."""
+    dim = unit.shape[1]
+    shift = np.random.default_rng([13, dim]).uniform(0, CELL, groups * lines)
+    at = np.floor((unit @ _lines(dim, groups * lines, 11) + shift) / CELL).astype(np.int64).view(np.uint64).reshape(-1, groups, lines)
+    key = np.broadcast_to(np.arange(1, groups + 1, dtype=np.uint64), at.shape[:2]).copy()
+    for k in range(lines):
+        key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + at[:, :, k])
+    return key.view(np.int64)
 
 
-def _dealer(groups: int, per_group: int, w: float, with_vectors: bool):
+def _dealer(groups: int, lines: int):
     def deal(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
             dims = np.array(batch.column("dim").to_pylist())
             for dim in np.unique(dims):
-                part = batch.take(pa.array(np.flatnonzero(dims == dim)))
-                points = _units(part.column("vector")) @ _lines(int(dim), groups * per_group)
-                for g in range(groups):
-                    home, touched = _cells(points[:, g * per_group : (g + 1) * per_group], g, w)
-                    for rows, cells, query in [(np.arange(len(home)), home, False), *((r, c, True) for r, c in touched)]:
-                        if not len(rows):
-                            continue
-                        at = pa.array(rows)
-                        out = [part.column("label").take(at), part.column("dim").take(at), pa.array(cells), pa.array(np.full(len(rows), query)), part.column("rep").take(at)]
-                        names = ["label", "dim", "cell", "query", "rep"]
-                        if with_vectors:
-                            out += [part.column("n").take(at), part.column("vector").take(at)]
-                            names += ["n", "vector"]
-                        yield pa.RecordBatch.from_arrays(out, names)
+                rows = np.flatnonzero(dims == dim)
+                for start in range(0, len(rows), 1024):
+                    part = batch.take(pa.array(rows[start : start + 1024]))
+                    keys = cells(_units(part.column("vector")), groups, lines)
+                    at = pa.array(np.repeat(np.arange(part.num_rows), groups))
+                    names = ["label", "dim", "cid"]
+                    yield pa.RecordBatch.from_arrays([*(part.column(c).take(at) for c in names), pa.array(np.tile(np.arange(groups, dtype=np.int32), part.num_rows)), pa.array(keys.reshape(-1))], [*names, "grp", "cell"])
 
     return deal
 
@@ -108,86 +119,100 @@ def _merge(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
         least = np.minimum(a, b)
         np.minimum.at(labels, a, least)
         np.minimum.at(labels, b, least)
-        while (deeper := labels[labels]).tolist() != labels.tolist():
+        while not np.array_equal(deeper := labels[labels], labels):
             labels[:] = deeper
 
 
-def _verifier(groups: int, per_group: int, w: float, least: int, cosine: float):
+def _verifier(groups: int, lines: int, w: float, cosine: float):
+    least, first = least_count(COUNTED), least_count(FIRST)
+
     def verify(key: tuple[pa.Scalar, ...], chunk: pa.Table) -> pa.Table:
-        dim, group = key[1].as_py(), key[2].as_py() >> 40
-        rep, n = (np.array(chunk.column(k).to_pylist(), np.int64) for k in ("rep", "n"))
-        query = np.array(chunk.column("query").to_pylist(), bool)
+        dim, group, same = key[1].as_py(), key[2].as_py(), key[4].as_py() == key[5].as_py()
+        cid, n, own = (np.array(chunk.column(k).to_pylist(), np.int64) for k in ("cid", "n", "own"))
         unit = _units(chunk.column("vector"))
-        points = unit @ _lines(dim, groups * per_group)
-        q, d = np.flatnonzero(query), np.flatnonzero(~query)
-        ids, node = np.unique(rep, return_inverse=True)
-        labels, links = np.arange(len(ids)), np.zeros(len(ids), np.int64)
-        own = slice(group * per_group, (group + 1) * per_group)
+        points = unit @ _lines(dim, COUNTED, 7)
+        order = np.argsort(points[:, 0], kind="stable")  # sorted by the first projection; windows are ranges of it
+        cid, n, own, unit, points = cid[order], n[order], own[order], unit[order], points[order]
+        keys = cells(unit, groups, lines)[:, :group]
+        labels, links = np.arange(len(cid)), np.zeros(len(cid), np.int64)
+        line = points[:, 0]
+        q = np.arange(len(cid)) if same else np.flatnonzero(own == key[4].as_py())
         for at in range(0, len(q), STRIP):
             s = q[at : at + STRIP]
-            meet = rep[s][:, None] > rep[d][None, :]
-            for k in range(own.start, own.stop):
-                meet &= np.abs(points[s, k][:, None] - points[d, k][None, :]) <= w
+            d = np.arange(np.searchsorted(line, line[s[0]] - w, "left"), np.searchsorted(line, line[s[-1]] + w, "right"))
+            d = d[d > s[0]] if same else d[own[d] != key[4].as_py()]
+            hits = np.zeros((len(s), len(d)), np.int8)
+            for k in range(FIRST):
+                hits += np.abs(points[s, k][:, None] - points[d, k][None, :]) <= w
+            meet = hits >= first
+            if same:
+                meet &= d[None, :] > s[:, None]
             a, b = np.nonzero(meet)
-            a, b = s[a], d[b]
-            hits = np.abs(points[a] - points[b]) <= w
-            first = hits.reshape(len(a), groups, per_group).all(2).argmax(1) == group
-            keep = first & (hits.sum(1) >= least)
-            a, b = a[keep], b[keep]
-            keep = np.einsum("ij,ij->i", unit[a], unit[b]) >= cosine
-            a, b = a[keep], b[keep]
-            np.add.at(links, node[a], n[b])
-            np.add.at(links, node[b], n[a])
-            _merge(labels, node[a], node[b])
+            for start in range(0, len(a), 1 << 16):  # few at a time, so that a cell of copies takes no more memory
+                x, y = s[a[start : start + (1 << 16)]], d[b[start : start + (1 << 16)]]
+                keep = (np.abs(points[x] - points[y]) <= w).sum(1) >= least
+                x, y = x[keep], y[keep]
+                keep = (np.einsum("ij,ij->i", unit[x], unit[y]) >= cosine) & ~(keys[x] == keys[y]).any(1)  # met in an earlier group: counted there
+                x, y = x[keep], y[keep]
+                np.add.at(links, x, n[y])
+                np.add.at(links, y, n[x])
+                _merge(labels, x, y)
         linked = np.flatnonzero(links)
-        return pa.table({"a": ids[linked], "b": ids[labels[linked]], "links": links[linked]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())]))
+        return pa.table({"a": cid[linked], "b": cid[labels[linked]], "links": links[linked]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())]))
 
     return verify
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = COSINE, groups: int = GROUPS, per_group: int = PER_GROUP) -> DataFrame:
+def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row (columns ``vec_id, embedding, label``).
 
     Only vectors with equal, non-null labels and equal dimension are compared.
     Null or zero vectors and those with null or non-finite components link with
-    nothing.  Every found pair is counted once, in the first line group on which
-    it collides.
+    nothing.  Every found pair is counted once, in the first group that brings it
+    together.  Rows are vectors of their own, whether or not they repeat a
+    vec_id: each counts its own vector's links.  A row without vec_id is compared
+    like any other; no component is named after it, and a component without any
+    vec_id has a null component_id and keeps its rows.  Other columns are not
+    read; an empty table gives no rows.
     """
     rows = vectors.select(F.col("vec_id").cast("bigint"), F.col("embedding").cast("array<float>"), F.col("label"))
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     norm = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     usable = F.coalesce(F.col("label").isNotNull() & ~bad & (norm > 0), F.lit(False))
     rows = rows.withColumn("usable", usable)
-    good = rows.where("usable")
-    distinct = materialize(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "vectors")
-    packed = distinct.mapInArrow(_pack, f"label {dict(distinct.dtypes)['label']}, dim int, rep bigint, n bigint, vector binary")
-    w, least = window(cosine), least_count(groups * per_group)
-    shape = f"label {dict(distinct.dtypes)['label']}, dim int, cell bigint, query boolean, rep bigint"
-    sizes = packed.mapInArrow(_dealer(groups, per_group, w, False), shape).groupBy("label", "dim", "cell").agg(F.count_if(~F.col("query")).alias("data"), F.count_if(F.col("query")).alias("queries"))
-    hot = materialize(sizes.where(F.greatest("data", "queries") > CHUNK), "hot")
-    dealt = packed.mapInArrow(_dealer(groups, per_group, w, True), f"{shape}, n bigint, vector binary").join(hot, ["label", "dim", "cell"], "left")
-    d, q = (F.ceil(F.coalesce(k, F.lit(1)) / CHUNK).cast("int") for k in ("data", "queries"))
-    own = F.pmod(F.xxhash64("rep"), F.when(F.col("query"), q).otherwise(d)).cast("int")
-    others = F.sequence(F.lit(0), F.when(F.col("query"), d).otherwise(q) - 1)
-    met = dealt.withColumn("own", own).withColumn("other", F.explode(others))
-    met = met.withColumn("tile", F.when(F.col("query"), F.col("own") * d + F.col("other")).otherwise(F.col("other") * d + F.col("own"))).select("label", "dim", "cell", "tile", "query", "rep", "n", "vector")
-    found = met.groupBy("label", "dim", "cell", "tile").applyInArrow(_verifier(groups, per_group, w, least, cosine), "a bigint, b bigint, links bigint")
+    kind = dict(rows.dtypes)["label"]
+    grouped = rows.where("usable").groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
+    distinct = materialize(grouped.withColumn("cid", F.monotonically_increasing_id()), "vectors")  # numbered once, when it is written
+    largest = distinct.groupBy("label").count().agg(F.max("count")).first()[0] or 1
+    groups, lines = shape(largest, cosine)
+    packed = distinct.mapInArrow(_pack, f"label {kind}, dim int, cid bigint, n bigint, vector binary")
+    keyed = packed.mapInArrow(_dealer(groups, lines), f"label {kind}, dim int, cid bigint, grp int, cell bigint")
+    keyed = materialize(keyed, "cells")
+    place = ["label", "dim", "grp", "cell"]
+    shared = keyed.groupBy(*place).agg(F.count("*").alias("size")).where("size > 1")
+    k = F.ceil(F.col("size") / CHUNK).cast("int")
+    met = keyed.join(shared, place).withColumn("k", k).withColumn("own", F.pmod(F.xxhash64("cid", "cell"), F.col("k")).cast("int"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    met = met.select(*place, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cid")
+    met = met.join(packed.select("cid", "n", "vector"), "cid")
+    found = met.groupBy(*place, "i", "j").applyInArrow(_verifier(groups, lines, window(cosine), cosine), "a bigint, b bigint, links bigint")
     found = materialize(found, "links")
-    links = found.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
-    labels = connected_components(found.select("a", "b")).select(F.col("v").alias("rep"), "component")
-    classes = distinct.join(links, "rep", "left").join(labels, "rep", "left")
-    classes = classes.select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    out = rows.withColumn("key", F.when(F.col("usable"), F.col("embedding"))).join(classes.withColumnRenamed("embedding", "key"), ["label", "key"], "left")
-    component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    links = found.groupBy(F.col("a").alias("cid")).agg(F.sum("links").alias("links"))
+    labels = connected_components(found.select("a", "b")).select(F.col("v").alias("cid"), "component")
+    classes = distinct.join(links, "cid", "left").join(labels, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    least = classes.groupBy("component").agg(F.min("rep").alias("component_id"))
+    classes = classes.join(least, "component").select("label", F.col("embedding").alias("key"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id", F.lit(True).alias("known"))
+    out = rows.withColumn("key", F.when(F.col("usable"), F.col("embedding"))).join(classes, ["label", "key"], "left")
+    component = F.when(F.col("known"), F.col("component_id")).otherwise(F.col("vec_id"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
 
 
 def _pack(batches):
     for batch in batches:
         vectors = [np.array(v, "<f4") for v in batch.column("embedding").to_pylist()]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("label"), pa.array([len(v) for v in vectors], pa.int32()), batch.column("rep"), batch.column("n"), pa.array([v.tobytes() for v in vectors], pa.binary())],
-            ["label", "dim", "rep", "n", "vector"],
+            [batch.column("label"), pa.array([len(v) for v in vectors], pa.int32()), batch.column("cid"), batch.column("n"), pa.array([v.tobytes() for v in vectors], pa.binary())],
+            ["label", "dim", "cid", "n", "vector"],
         )
 
 
