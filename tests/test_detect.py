@@ -22,25 +22,25 @@ def _spans(spark, text, **config):
 
 
 def test_basic_chinese(spark):
-    found = dict(_spans(spark, "我叫王洋，电话是13800138000，邮箱是wang@example.com。"))
-    assert found == {"PERSON": "王洋", "PHONE": "13800138000", "EMAIL": "wang@example.com"}
+    found = dict(_spans(spark, "联系人：陈思，手机15912340077，信箱chen.si@post.example.org。"))
+    assert found == {"PERSON": "陈思", "PHONE": "15912340077", "EMAIL": "chen.si@post.example.org"}
 
 
 def test_bilingual_boundaries(spark):
-    text = "采访对象姓名：王洋，现就读于中国人民大学。His supervisor is Dr. Alice Morgan from Northbridge Institute."
+    text = "姓名：李小明，毕业于复旦大学，后来在星海有限公司。Ms Jane Porter of Lakeside University wrote to them."
     found = _spans(spark, text)
-    assert ("PERSON", "王洋") in found and ("PERSON", "Alice Morgan") in found
-    assert ("ORG", "中国人民大学") in found and ("ORG", "Northbridge Institute") in found
-    assert ("PERSON", "姓名") not in found
+    assert ("PERSON", "李小明") in found and ("PERSON", "Jane Porter") in found
+    assert ("ORG", "复旦大学") in found and ("ORG", "Lakeside University") in found
+    assert not [t for k, t in found if k == "PERSON" and t in ("姓名", "后来")]
 
 
-@pytest.mark.parametrize(("language", "want"), [("zh", ["王洋"]), ("en", ["Alice Morgan"])])
+@pytest.mark.parametrize(("language", "want"), [("zh", ["赵磊"]), ("en", ["Carl Jensen"])])
 def test_language_gate(spark, language, want):
-    assert [t for _, t in _spans(spark, "姓名：王洋。Alice Morgan.", language=language, enabled_entity_types=("PERSON",))] == want
+    assert [t for _, t in _spans(spark, "联系人:赵磊! Carl Jensen.", language=language, enabled_entity_types=("PERSON",))] == want
 
 
 def test_address_and_astral_offsets(spark):
-    assert ("ADDRESS", "北京市海淀区中关村大街59号") in _spans(spark, "😀我叫王洋，住在北京市海淀区中关村大街59号。")
+    assert ("ADDRESS", "上海市浦东新区世纪大道8号") in _spans(spark, "😀😀我叫赵磊，寄到上海市浦东新区世纪大道8号。")
 
 
 def test_validators(spark):
@@ -65,24 +65,20 @@ def test_offsets_equal_python(spark, key):
     pattern, flags, group = PYTHON[key]
     rows = _docs(spark, *HARD).select("text", matches("text", quoted(ALL[key].pattern), group).alias("m")).collect()
     for r in rows:
-        if key == "email":
-            continue_from = [(m.start(), m.end()) for m in re.finditer(pattern, r["text"], flags)]
-            assert {(x["start"], x["end"]) for x in r["m"]} >= set(continue_from)
-        else:
-            assert [(x["start"], x["end"]) for x in r["m"]] == [m.span(group) for m in re.finditer(pattern, r["text"], flags)]
+        assert [(x["start"], x["end"]) for x in r["m"]] == [m.span(group) for m in re.finditer(pattern, r["text"], flags)]
 
 
 def test_custom_rules(spark):
     rules = (
-        {"id": "1", "name": "k", "kind": "keyword", "pattern": "内部代号Z", "entity_type": "CUSTOM"},
-        {"id": "2", "name": "r", "kind": "regex", "pattern": r"ACCT-\d{8}", "entity_type": "CUSTOM"},
+        {"id": "1", "name": "k", "kind": "keyword", "pattern": "蓝鲸计划Q", "entity_type": "CUSTOM"},
+        {"id": "2", "name": "r", "kind": "regex", "pattern": r"REF:\d{4}", "entity_type": "CUSTOM"},
         {"id": "3", "name": "bad", "kind": "regex", "pattern": "[broken", "entity_type": "CUSTOM"},
-        {"id": "4", "name": "off", "kind": "keyword", "pattern": "材料", "entity_type": "CUSTOM", "enabled": False},
-        {"id": "5", "name": "type", "kind": "keyword", "pattern": "材料", "entity_type": "NOPE"},
+        {"id": "4", "name": "off", "kind": "keyword", "pattern": "附件", "entity_type": "CUSTOM", "enabled": False},
+        {"id": "5", "name": "type", "kind": "keyword", "pattern": "附件", "entity_type": "NOPE"},
         {"id": "6", "name": "empty", "kind": "regex", "pattern": "q*", "entity_type": "CUSTOM"},
     )
-    found = _spans(spark, "材料含内部代号z和ACCT-12345678，qq", enabled_entity_types=("CUSTOM",), custom_rules=rules)
-    assert found == [("CUSTOM", "内部代号z"), ("CUSTOM", "ACCT-12345678"), ("CUSTOM", "qq")]
+    found = _spans(spark, "附件有蓝鲸计划q与REF:2048，qq", enabled_entity_types=("CUSTOM",), custom_rules=rules)
+    assert found == [("CUSTOM", "蓝鲸计划q"), ("CUSTOM", "REF:2048"), ("CUSTOM", "qq")]
     assert java_pattern({"kind": "keyword", "pattern": "a.b", "entity_type": "CUSTOM", "case_sensitive": True}) == r"a\.b"
 
 
@@ -116,5 +112,5 @@ def test_names_in_all_documents_equal_brute_force(spark):
     organisation = re.compile(r"(?i) (?:university|college|hospital|institute|company|corporation)$")
     docs = spark.read.parquet(f"{data}/documents.parquet").collect()
     found = [(r["doc_id"], v, r["lang"]) for r in docs for v in name.findall(r["text"] or "") if not organisation.search(v)]
-    assert sorted((r["doc_id"], r["value"]) for r in QUERIES["detect_person_en_all"](spark, data).collect()) == sorted(x[:2] for x in found)
+    assert sorted((r["doc_id"], r["value"]) for r in QUERIES["detect_person_en"](spark, data).collect()) == sorted(x[:2] for x in found)
     assert {x[2] for x in found} > {"en"}

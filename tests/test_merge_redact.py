@@ -1,9 +1,13 @@
+import random
+import re
+import time
+
 import hypothesis.strategies as st
 from hypothesis import HealthCheck, given, settings
 from pyspark.sql import functions as F
 
 from veilspark.functions.spans import SPANS
-from veilspark.operators.anonymize import features_of, redacted, vector
+from veilspark.operators.anonymize import redacted, vector, weights
 from veilspark.operators.merge import merged
 from veilspark.plans.config import Config
 from veilspark.plans.pipeline import redact
@@ -96,10 +100,42 @@ def test_pseudonyms_are_consistent(spark):
     assert out == _redact(spark, text, strategy="pseudonymize", enabled_entity_types=("PERSON",))["redacted_text"]
 
 
-def test_constant_features(spark):
-    terms = ["华东某高校", "Northbridge Institute", "林清", "某市某区学府路18号"]
-    rows = spark.createDataFrame([(t,) for t in terms], "t string").select("t", vector(F.col("t"), "ORG").alias("v")).collect()
-    assert all([round(x, 9) for x in r["v"]] == [round(x, 9) for x in features_of(r["t"], "ORG")] for r in rows)
+def test_features_and_weights_by_hand(spark):
+    rows = {r["t"]: r for r in spark.createDataFrame([("星海大学",), ("Ab1 ",), ("",)], "t string").select("t", vector(F.col("t"), "ORG").alias("v"), weights(F.col("t"), "PERSON", 2).alias("w")).collect()}
+    assert rows["星海大学"]["v"] == [1.0, 0.0, 0.0, 0.1, 1.0, 0.0, 1.0]
+    assert rows["Ab1 "]["v"] == [0.0, 0.5, 0.25, 0.1, 0.0, 0.0, 1.0] and rows[""]["v"] == [0.0, 0.0, 0.0, 0.025, 0.0, 0.0, 1.0]
+    assert all(w >= 1 for r in rows.values() for w in r["w"])
+
+
+def test_many_spans_in_one_text(spark):
+    """32,000 spans in one text: work grows with the text, not with its square."""
+    text = " ".join(f"user{i % 20000}@mail{i % 97}.example.com" for i in range(32_000))
+    df = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    config = Config(enabled_entity_types=("EMAIL",))
+    redact(df.limit(0), config).collect()
+    began = time.perf_counter()
+    row = redact(df, config).select("n_spans", "redacted_text").first()
+    assert time.perf_counter() - began < 5
+    numbers, want = {}, []
+    for w in text.split(" "):
+        want.append(f"【EMAIL-{numbers.setdefault(w, len(numbers) + 1):03d}】")
+    assert row["n_spans"] == 32_000 and row["redacted_text"] == " ".join(want)
+
+
+def test_long_text_is_read_by_blocks(spark):
+    rng = random.Random(3)
+    text = "".join(rng.choice("ab😀é\n王 ") for _ in range(30_000))
+    edges = sorted(rng.sample(range(len(text)), 400))
+    spans = [_span(a, b, "ORG", 0.9, text=text) for a, b in zip(edges[::2], edges[1::2], strict=True)]
+    spans += [(5, 9, "no such text", "ORG", 0.9, ["RULE"], "accepted", False, "mask", None, None), _span(29_990, 30_000, "ORG", 0.9, text=text)]
+    (m,) = _merge(spark, text, spans)
+    assert [(s["start"], s["end"]) for s in m] == [(s["start"], s["end"]) for s in (dict(zip(("start", "end"), x[:2], strict=True)) for x in sorted(spans) if x[2] != "no such text")]
+    row = spark.createDataFrame([(1, text, [tuple(s) for s in m])], f"id int, text string, spans {SPANS}").select(redacted(F.col("text"), F.col("spans"), F.col("id"), "mask")).first()[0]
+    out, at = [], 0
+    for s in m:
+        out += [text[at : s["start"]], "\0"]
+        at = s["end"]
+    assert re.sub("【ORG-\\d+】", "\0", row) == "".join(out) + text[at:]
 
 
 def test_custom_replacement_wins_and_takes_no_number(spark):

@@ -33,7 +33,7 @@ class Recognizer:
 
 
 RULES = (
-    Recognizer("email", "EMAIL", r"(?iu)(?:(?<![A-Za-z0-9_.+-])|\G)[A-Za-z0-9_.+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", 0.99, "RULE", needs="@"),
+    Recognizer("email", "EMAIL", r"(?iu)(?<![A-Za-z0-9_.+-])[A-Za-z0-9_.+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", 0.99, "RULE", needs="@"),
     Recognizer("phone_cn", "PHONE", rf"(?<!{D})(?:\+?86[- ]?)?1[3-9]{D}{{9}}(?!{D})", 0.99, "RULE", needs=f"1[3-9]{D}{{9}}"),
     Recognizer("phone_intl", "PHONE", rf"(?<!{D})(?:\+?(?:1|44|61|81|82|65)[-. ]?)?\(?{D}{{2,4}}\)?[-. ]{D}{{3,4}}[-. ]{D}{{4}}(?!{D})", 0.94, "RULE", needs=f"{D}[-. ]{D}{{4}}"),
     Recognizer("id_card", "ID_CARD", rf"(?<!{D}){D}{{17}}[0-9Xx](?!{D})", 0.995, "RULE", needs=f"{D}{{17}}"),

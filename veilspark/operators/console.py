@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.functions.spans import matches, quoted
+from veilspark.functions.spans import clusters, matches, quoted
 from veilspark.functions.tables import EPSILON
 from veilspark.operators.detect import java_pattern
 from veilspark.operators.knowledge import stripped
@@ -25,11 +25,10 @@ def facet(rows: DataFrame, kind: str = "all", search: str = "") -> DataFrame:
 
 def drawable(spans: Column) -> Column:
     """Spans that can be drawn left to right: each begins where the one drawn before it ends, or later."""
-    ordered = F.array_sort(spans)
     kept = F.array().cast("array<struct<start:int,end:int>>")
-    slim = F.transform(ordered, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
-    fold = lambda a, s: F.when(s["start"] >= a["at"], F.struct(s["end"].alias("at"), F.concat(a["out"], F.array(s)).alias("out"))).otherwise(a)
-    return F.aggregate(slim, F.struct(F.lit(0).alias("at"), kept.alias("out")), fold, lambda a: a["out"])
+    slim = F.transform(F.array_sort(spans), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    fold = lambda out, s: F.when((F.size(out) == 0) | (s["start"] >= F.try_element_at(out, F.lit(-1))["end"]), F.concat(out, F.array(s))).otherwise(out)
+    return F.flatten(F.transform(clusters(slim), lambda group: F.aggregate(group, kept, fold)))
 
 
 def highlight(context: str, entity: str) -> Column:

@@ -55,20 +55,19 @@ def generalized(term: Column, entity_type: Column, strength: int) -> Column:
 
 
 def enrich(spans: DataFrame, cache: DataFrame | None = None, now: Column | None = None) -> DataFrame:
-    """Adds ``levels`` and ``level_source`` to long-form spans: each distinct (text, type) is looked up once.
+    """Adds ``levels`` and ``level_source`` to long-form spans, by expressions on the row.
 
-    ``cache`` (``term, entity_type, levels, source, expires_at``) takes
+    ``cache`` (``term, entity_type, levels, source, expires_at``; one row a key) takes
     precedence while fresh.  Only named types that were not rejected are looked
     up; others get nulls.
     """
-    wanted = spans.where(F.col("entity_type").isin(*NAMED_TYPES) & (F.col("status") != "rejected")).select("text", "entity_type").distinct()
-    found = wanted.withColumn("x", lookup(F.col("text"), F.col("entity_type")))
+    wanted = F.col("entity_type").isin(*NAMED_TYPES) & (F.col("status") != "rejected")
+    found = spans.withColumn("x", F.when(wanted, lookup(F.col("text"), F.col("entity_type"))))
     if cache is not None:
         fresh = cache.where(F.col("expires_at") > (F.current_timestamp() if now is None else now))
-        fresh = fresh.select(F.lower("term").alias("folded"), F.col("entity_type").alias("t"), F.struct("levels", "source").alias("y"))
-        found = found.join(fresh, (F.lower("text") == F.col("folded")) & (F.col("entity_type") == F.col("t")), "left").withColumn("x", F.coalesce("y", "x"))
-    found = found.select("text", "entity_type", F.col("x.levels").alias("levels"), F.col("x.source").alias("level_source"))
-    return spans.join(found, ["text", "entity_type"], "left")
+        fresh = fresh.select(F.lower("term").alias("folded"), F.col("entity_type").alias("t"), F.struct("levels", "source").alias("y")).dropDuplicates(["folded", "t"])
+        found = found.join(fresh, wanted & (F.lower("text") == F.col("folded")) & (F.col("entity_type") == F.col("t")), "left").withColumn("x", F.coalesce("y", "x"))
+    return found.select(*spans.columns, F.col("x.levels").alias("levels"), F.col("x.source").alias("level_source"))
 
 
 def collect_strings(value, preferred=("concept", "value", "category", "label", "name", "type")) -> list[str]:

@@ -2,7 +2,7 @@
 
 Candidates are taken in order of start, longest first, then best score, then
 input order.  Kept spans are then disjoint and sorted, so a candidate can only
-meet the last one kept; the merge is one linear fold without a shuffle.
+meet the last one kept; the merge is a fold within the row, without a shuffle.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilspark.functions.spans import empty_spans, has_cjk, has_latin, intact, matches, overlaps, quoted
+from veilspark.functions.spans import all_intact, bound, clusters, empty_spans, has_cjk, has_latin, matches, overlaps, quoted
 from veilspark.functions.tables import NAMED_TYPES
 
 
@@ -46,10 +46,14 @@ def _rank(s: Column) -> Column:
 
 
 def merged(text: Column, spans: Column) -> Column:
-    """The merge of an array of spans over its text; spans that do not fit the text are dropped."""
-    fit = F.filter(spans, lambda s: intact(text, s))
-    keyed = F.transform(fit, lambda s, i: F.struct(s["start"].alias("a"), (s["start"] - s["end"]).alias("b"), (-_score(s)).alias("c"), i.alias("d"), s.alias("s")))
-    ordered = F.transform(F.array_sort(keyed), lambda k: k["s"])
+    """The merge of an array of spans over its text; spans that do not fit the text are dropped.
+
+    Spans that stand apart from all before them begin a new group; each group is
+    folded by itself, so work is linear but for spans that all hang together.
+    """
+    def ordered(fit: Column) -> Column:
+        keyed = F.transform(fit, lambda s, i: F.struct(s["start"].alias("a"), (s["start"] - s["end"]).alias("b"), (-_score(s)).alias("c"), i.alias("d"), s.alias("s")))
+        return F.transform(F.array_sort(keyed), lambda k: k["s"])
 
     def step(kept: Column, new: Column) -> Column:
         last = F.try_element_at(kept, F.lit(-1))
@@ -63,7 +67,8 @@ def merged(text: Column, spans: Column) -> Column:
             .otherwise(F.concat(kept, F.array(new)))
         )
 
-    return F.aggregate(ordered, empty_spans(), step)
+    fold = lambda group: F.when(F.size(group) < 2, group).otherwise(F.aggregate(group, empty_spans(), step))
+    return bound(all_intact(text, spans), lambda fit: F.when(F.size(fit) < 2, fit).otherwise(F.flatten(F.transform(clusters(ordered(fit)), fold))))
 
 
 def in_language(spans: Column, language: str) -> Column:

@@ -40,12 +40,12 @@ def jobs(rows: DataFrame, created: str = "created_at", key: str = "id") -> DataF
 
 
 def purge(tasks: DataFrame, events: DataFrame, now: Column, days: int, created: str = "created_at", key: str = "id", ref: str = "task_id") -> tuple[DataFrame, DataFrame]:
-    """Tasks within retention, and the events whose task was not purged."""
+    """Tasks within retention or without a date, and the events whose task was not purged."""
     if not 1 <= days <= 3650:
         raise ValueError("retention must be 1 to 3650 days")
     old = F.col(created) < now - F.expr(f"INTERVAL {days} DAYS")
     gone = tasks.where(old).select(F.col(key).alias(ref))
-    return tasks.where(~old), events.join(gone, ref, "left_anti")
+    return tasks.where(~F.coalesce(old, F.lit(False))), events.join(gone, ref, "left_anti")
 
 
 def cascade(parents: DataFrame, children: DataFrame, doomed: DataFrame, key: str, ref: str) -> tuple[DataFrame, DataFrame]:
@@ -105,38 +105,6 @@ def hydrate(results: DataFrame, tasks: DataFrame) -> DataFrame:
     return out.select(*[F.coalesce(f"new_{c}", c).alias(c) if f"new_{c}" in out.columns else F.col(c) for c in results.columns])
 
 
-REVIEWS = ("accept", "reject", "change_type", "adjust_boundary", "set_span_strategy", "set_replacement")
-
-
-def review(spans: DataFrame, events: DataFrame) -> DataFrame:
-    """Spans after all review events, in event order (events: ``ord, span_id, operation, after``).
-
-    accept, reject and change_type clear the conflict; set_span_strategy and
-    set_replacement accept and leave it.  Each span's events are one small group,
-    folded in order within the row.
-    """
-    folded = events.where(F.col("operation").isin(*REVIEWS)).groupBy("span_id").agg(F.array_sort(F.collect_list(F.struct("ord", "operation", "after"))).alias("events"))
-    start = F.struct("start", "end", "entity_type", "status", "conflict", "strategy", "replacement")
-
-    def step(a: Column, e: Column) -> Column:
-        op, after = e["operation"], e["after"]
-        at = lambda i: F.get(F.split(after, ":"), F.lit(i)).cast("int")
-        return F.struct(
-            F.when(op == "adjust_boundary", at(0)).otherwise(a["start"]).alias("start"),
-            F.when(op == "adjust_boundary", at(1)).otherwise(a["end"]).alias("end"),
-            F.when(op == "change_type", after).otherwise(a["entity_type"]).alias("entity_type"),
-            F.when(op == "reject", "rejected").otherwise("accepted").alias("status"),
-            F.when(op.isin("accept", "reject", "change_type", "adjust_boundary"), False).otherwise(a["conflict"]).alias("conflict"),
-            F.when(op == "set_span_strategy", after).otherwise(a["strategy"]).alias("strategy"),
-            F.when(op == "set_replacement", F.nullif(after, F.lit(""))).otherwise(a["replacement"]).alias("replacement"),
-        )
-
-    joined = spans.join(folded, "span_id", "left").withColumn("x", F.when(F.col("events").isNull(), start).otherwise(F.aggregate("events", start, step)))
-    human = F.when(F.col("events").isNull(), F.col("sources")).otherwise(F.array_sort(F.array_union("sources", F.array(F.lit("HUMAN")))))
-    moved = {c: F.col("x")[c] for c in ("start", "end", "entity_type", "status", "conflict", "strategy", "replacement")}
-    return joined.select(*[moved[c].alias(c) if c in moved else human.alias(c) if c == "sources" else F.col(c) for c in spans.columns])
-
-
 def hashed(text: Column) -> Column:
     """What an audit keeps of a sensitive text."""
     return F.struct(F.length(text).alias("length"), F.sha2(text, 256).alias("sha256"))

@@ -39,5 +39,14 @@ _TEXT = "'😀姓名：' || person || '，证件' || id_no || '，护照' || pas
 SQL = f"SELECT doc_id, {_TEXT} AS text, nation, {', '.join(FIELDS)} FROM (SELECT c_custkey AS doc_id, c_nationkey AS nation, {', '.join(f'{v} AS {k}' for k, v in FIELDS.items())} FROM customer)"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of an input with fewer partitions than there are cores dealt to all of them, once, before work that is heavy a row.
+
+    A table with more files or splits than cores stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def bilingual(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(SQL.replace("FROM customer)", "FROM {customer})"), customer=spark.read.parquet(f"{sf_dir}/customer.parquet"))
+    return spread(spark.sql(SQL.replace("FROM customer)", "FROM {customer})"), customer=spark.read.parquet(f"{sf_dir}/customer.parquet")))

@@ -58,32 +58,49 @@ _on_bilingual("org_en", "org_en")
 _on_bilingual("person_zh", "person")
 _on_bilingual("address", "street")
 
-_EMAIL = r"[A-Za-z0-9_.+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
-_FOUND = f"SELECT doc_id, regexp_extract_all(text, '{_EMAIL}') AS m, string_split_regex(text, '{_EMAIL}') AS g FROM documents"
-_AT = "coalesce(list_sum(list_transform(g[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0)"
+def _located(source: str, pattern: str, group: int = 1, text: str = "text") -> str:
+    """Values of a group of all matches with their places: what stands before a match is cut off at the matches."""
+    found = f"SELECT doc_id, {text} AS t, regexp_extract_all({text}, '{pattern}', 0) AS f, regexp_extract_all({text}, '{pattern}', {group}) AS v, string_split_regex({text}, '{pattern}') AS g FROM {source}"
+    before = "coalesce(list_sum(list_transform(g[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(f[1:i - 1], lambda x: length(x))), 0) + instr(f[i], v[i]) - 1"
+    return f"SELECT doc_id, t, CAST({before} AS INTEGER) AS start_at, v[i] AS value FROM (SELECT *, unnest(range(1, len(f) + 1)) AS i FROM ({found}) WHERE len(f) > 0)"
 
 
-@query(f"SELECT doc_id, CAST({_AT} AS INTEGER) AS start_at, CAST({_AT} + length(m[i]) AS INTEGER) AS end_at, m[i] AS value FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM ({_FOUND}) WHERE len(m) > 0)")
+def _spans(located: str) -> str:
+    return f"SELECT doc_id, start_at, CAST(start_at + length(value) AS INTEGER) AS end_at, value FROM ({located})"
+
+
+#: The look-behind as a consumed character: a match ends with one of its class, so the next begins after another one.
+EMAIL = r"(?:^|[^A-Za-z0-9_.+-])([A-Za-z0-9_.+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"
+_FOUND = f"SELECT doc_id, regexp_extract_all(text, '{EMAIL}', 1) AS m FROM documents"
+
+
+@query(_spans(_located("documents", EMAIL)))
 def detect_email(spark, sf_dir):
     """E-mail spans with offsets."""
     return _rows(table(spark, sf_dir, "documents"), generator(recognizer("email")))
 
 
-@query(r"SELECT doc_id, unnest(regexp_extract_all(text, '(?:^|[^0-9])((?:\+?(?:1|44|61|81|82|65)[-. ]?)?\(?[0-9]{2,4}\)?[-. ][0-9]{3,4}[-. ][0-9]{4})(?:$|[^0-9])', 1)) AS value FROM documents")
+@query(_spans(_located("documents", r"(?:^|[^0-9])((?:\+?(?:1|44|61|81|82|65)[-. ]?)?\(?[0-9]{2,4}\)?[-. ][0-9]{3,4}[-. ][0-9]{4})(?:$|[^0-9])")))
 def detect_phone_intl(spark, sf_dir):
     """International phone numbers."""
-    return _rows(table(spark, sf_dir, "documents"), generator(recognizer("phone_intl"))).select("doc_id", "value")
+    return _rows(table(spark, sf_dir, "documents"), generator(recognizer("phone_intl")))
 
 
+#: Every character but digits stands twice, so that neighbours can both have the one between them.
 _DOUBLED = r"regexp_replace(text, '([^0-9])', '\1\1', 'g')"
-_CARDS = rf"SELECT doc_id, replace(replace(v, '  ', ' '), '--', '-') AS value FROM (SELECT doc_id, unnest(regexp_extract_all({_DOUBLED}, '(?s)(?:^|[^0-9])((?:[0-9](?:  |--)?){{12,19}})(?:$|[^0-9])', 1)) AS v FROM documents)"
-_LUHN = "list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(substr(d, length(d) - i + 1, 1) AS INT) ELSE CAST(substr(d, length(d) - i + 1, 1) AS INT) * 2 - CASE WHEN CAST(substr(d, length(d) - i + 1, 1) AS INT) > 4 THEN 9 ELSE 0 END END)) % 10 = 0"
+_DOUBLE_CARDS = _located("documents", r"(?s)(?:^|[^0-9])((?:[0-9](?:  |--)?){12,19})(?:$|[^0-9])", text=_DOUBLED)
+_CARDS = f"SELECT doc_id, CAST(start_at - length(regexp_replace(substr(t, 1, start_at), '[0-9]', '', 'g')) / 2 AS INTEGER) AS start_at, replace(replace(value, '  ', ' '), '--', '-') AS value FROM ({_DOUBLE_CARDS})"
+def luhn_sql(d: str) -> str:
+    return f"list_sum(list_transform(range(1, length({d}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(substr({d}, length({d}) - i + 1, 1) AS INT) ELSE CAST(substr({d}, length({d}) - i + 1, 1) AS INT) * 2 - CASE WHEN CAST(substr({d}, length({d}) - i + 1, 1) AS INT) > 4 THEN 9 ELSE 0 END END)) % 10 = 0"
+
 
+_LUHN = luhn_sql("d")
 
-@query(f"SELECT doc_id, value FROM (SELECT *, regexp_replace(value, '[^0-9]', '', 'g') AS d FROM ({_CARDS})) WHERE length(d) BETWEEN 12 AND 19 AND {_LUHN}")
+
+@query(f"SELECT doc_id, start_at, CAST(start_at + length(value) AS INTEGER) AS end_at, value FROM (SELECT *, regexp_replace(value, '[^0-9]', '', 'g') AS d FROM ({_CARDS})) WHERE length(d) BETWEEN 12 AND 19 AND {_LUHN}")
 def detect_bank_card(spark, sf_dir):
     """Card numbers that pass the Luhn check."""
-    return _rows(table(spark, sf_dir, "documents"), generator(recognizer("bank_card"))).select("doc_id", "value")
+    return _rows(table(spark, sf_dir, "documents"), generator(recognizer("bank_card")))
 
 
 @query(f"SELECT c_custkey AS c_custkey, d AS number, {_LUHN} AS valid FROM (SELECT c_custkey, '4' || lpad(CAST(c_custkey * 7919 AS VARCHAR), 15, '0') AS d FROM customer)")
@@ -93,28 +110,23 @@ def luhn_check(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", number.alias("number")).withColumn("valid", luhn(F.col("number")))
 
 
-@query(rf"{CN} SELECT doc_id, unnest(regexp_extract_all(text, '(?i)London|Beijing|Shanghai|New York|Tokyo|Singapore|北京市|海淀区|北京')) AS value FROM cn")
+@query(f"{CN} {_spans(_located('cn', '(?i)London|Beijing|Shanghai|New York|Tokyo|Singapore|北京市|海淀区|北京', 0))}")
 def detect_location(spark, sf_dir):
     """Gazetteer hits."""
-    return _rows(corpus.bilingual(spark, sf_dir), generator(recognizer("location"))).select("doc_id", "value")
+    return _rows(corpus.bilingual(spark, sf_dir), generator(recognizer("location")))
 
 
-@query(r"SELECT doc_id, v AS value FROM (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(text, '[À-ɏ]', '_', 'g'), '\b(?:Mr\.?|Ms\.?|Dr\.?)?\s*([A-Z][a-z]{2,}\s+[A-Z][a-z]{2,})\b', 1)) AS v FROM documents WHERE lang = 'en') WHERE NOT regexp_matches(v, '(?i) (university|college|hospital|institute|company|corporation)$')")
+@query(_spans(_located("documents", r"\b(?:Mr\.?|Ms\.?|Dr\.?)?\s*([A-Z][a-z]{2,}\s+[A-Z][a-z]{2,})\b", text="regexp_replace(text, '[À-ɏ]', '_', 'g')")) + " WHERE NOT regexp_matches(value, '(?i) (university|college|hospital|institute|company|corporation)$')")
 def detect_person_en(spark, sf_dir):
-    """Capitalised name pairs in English documents."""
-    return _rows(table(spark, sf_dir, "documents").where("lang = 'en'"), generator(recognizer("person_en"))).select("doc_id", "value")
-
+    """Capitalised name pairs in all documents (the SQL has accented letters as word characters by an underscore)."""
+    return _rows(table(spark, sf_dir, "documents"), generator(recognizer("person_en")))
 
-@query()
-def detect_person_en_all(spark, sf_dir):
-    """Capitalised name pairs in all documents, whatever their lang; the SQL of detect_person_en has lang = 'en' only."""
-    return _rows(table(spark, sf_dir, "documents"), generator(recognizer("person_en"))).select("doc_id", "value")
 
-
-@query(f"{CN} SELECT doc_id, org AS value FROM cn WHERE false UNION ALL SELECT doc_id, n AS value FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?:^|[^一-鿿])([一-鿿·&]{{2,30}}(?:大学|学院|医院|研究院|委员会|有限公司|集团|银行))', 1)) AS n FROM cn) WHERE NOT regexp_matches(n, '就读于|任职于|来自|工作于|毕业于|供职于|隶属于')")
+@query(f"{CN} SELECT doc_id, 3 AS start_at, CAST(3 + length(org) AS INTEGER) AS end_at, org AS value FROM cn")
 def detect_org_zh(spark, sf_dir):
-    """Bare organisation names (those inside a context verb's phrase are dropped)."""
-    return _rows(corpus.bilingual(spark, sf_dir), generator(recognizer("org_zh"))).select("doc_id", "value")
+    """Bare organisation names; those inside a context verb's phrase, as in the rest of the text, are dropped."""
+    docs = corpus.bilingual(spark, sf_dir).withColumn("text", F.concat(F.lit("单位："), "org", F.lit("。"), "text"))
+    return _rows(docs, generator(recognizer("org_zh")))
 
 
 _RULES = [("r1", "ending", "keyword", "tion", "CUSTOM"), ("r2", "code", "regex", "mail[0-9]+", "CUSTOM"), ("r3", "licence", "keyword", "CC BY-NC 4.0", "CUSTOM")]
@@ -181,16 +193,16 @@ def language_gate(spark, sf_dir):
     return exploded(detected(corpus.bilingual(spark, sf_dir), config)).select("doc_id", F.col("text").alias("value"))
 
 
-_HITS = "SELECT doc_id, list_filter(regexp_extract_all(text, '[^。！？!?\n]+[。！？!?\n]?|[。！？!?\n]'), lambda s: regexp_matches(s, '(?i)contact|address|email|phone|my name|work(s|ed)? at')) AS s FROM documents"
+_FIRST = "regexp_extract(text, '^[^。]*。', 0)"
 
 
-@query(f"SELECT doc_id, CAST(least(len(s), 8) AS INTEGER) AS n_lines FROM ({_HITS}) WHERE len(s) > 0")
+@query(f"{CN} SELECT doc_id, array_to_string(list_transform(range(0, 8), lambda i: '[' || (i * length(s)) || ':' || ((i + 1) * length(s)) || '] ' || s), chr(10)) AS routed FROM (SELECT doc_id, {_FIRST} AS s FROM cn) UNION ALL SELECT doc_id + 1000000000, '[0:' || least(length(t), 1200) || '] ' || substr(t, 1, 1200) FROM (SELECT doc_id, repeat(org_en || ' and so on ', 200) AS t FROM cn)")
 def sentence_route(spark, sf_dir):
-    """Documents with risky sentences, and how many of them a model would see."""
-    docs = table(spark, sf_dir, "documents").withColumn("r", routed("text"))
-    risky = r"(?i)contact|address|email|phone|my name|work(s|ed)? at"
-    lines = F.regexp_count("r", F.lit(r"(?m)^\[\d+:\d+\] "))
-    return docs.where(F.col("text").rlike(risky)).select("doc_id", lines.alias("n_lines"))
+    """What a model would see: the first eight mixed-script sentences with their places, or the beginning of a plain text."""
+    docs = corpus.bilingual(spark, sf_dir)
+    mixed = docs.select("doc_id", F.expr("repeat(regexp_extract(text, '^[^。]*。', 0), 10)").alias("text"))
+    plain = docs.select((F.col("doc_id") + 1000000000).alias("doc_id"), F.expr("repeat(concat(org_en, ' and so on '), 200)").alias("text"))
+    return mixed.unionAll(plain).select("doc_id", routed("text").alias("routed"))
 
 
 _CUT = "CASE WHEN {b} + 420 >= length(text) THEN length(text) WHEN length(regexp_extract(substr(text, {b} + 1, 420), '(?s)^(.*[。！？!?\n])', 1)) > 210 THEN {b} + length(regexp_extract(substr(text, {b} + 1, 420), '(?s)^(.*[。！？!?\n])', 1)) ELSE {b} + 420 END"
@@ -223,10 +235,10 @@ def _gold(docs: DataFrame, kinds: dict[str, str]) -> DataFrame:
     return docs.select("doc_id", F.explode(F.array(*spans)).alias("g")).select("doc_id", "g.*")
 
 
-@query("SELECT page_id, length(t) AS n_chars, substr(t, 1, 80) AS head FROM (SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&'), '\\s+', ' ', 'g')) AS t FROM pages)".replace("\\\\", "\\"))
+@query("SELECT page_id, length(t) AS n_chars, md5(t) AS text_md5 FROM (SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&'), '\\s+', ' ', 'g')) AS t FROM pages)".replace("\\\\", "\\"))
 def page_selection(spark, sf_dir):
     """Visible text of web pages."""
-    return table(spark, sf_dir, "pages").withColumn("t", page_text(F.col("html"))).select("page_id", F.length("t").cast("bigint").alias("n_chars"), F.substring("t", 1, 80).alias("head"))
+    return table(spark, sf_dir, "pages").withColumn("t", page_text(F.col("html"))).select("page_id", F.length("t").cast("bigint").alias("n_chars"), F.md5("t").alias("text_md5"))
 
 
 @query(f"SELECT entity_type, count(*) AS n FROM (SELECT 'EMAIL' AS entity_type, unnest(m) AS v FROM ({_FOUND})) GROUP BY entity_type")
@@ -246,6 +258,6 @@ def type_rollup(spark, sf_dir):
 @query()
 def detect_all(spark, sf_dir):
     """Every generator over every document, merged: counts by type."""
-    docs = detect(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = detect(corpus.spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     rows = docs.select("doc_id", F.explode(merge.merged(F.col("text"), F.col("candidates"))).alias("s"))
     return rows.groupBy("s.entity_type").agg(F.count("*").alias("n"), F.count_if(F.col("s.conflict")).alias("n_conflicts"))

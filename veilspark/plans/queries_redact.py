@@ -10,7 +10,7 @@ from veilspark.operators import anonymize, instruct, knowledge
 from veilspark.plans import corpus
 from veilspark.plans.config import Config
 from veilspark.plans.pipeline import exploded, redact
-from veilspark.plans.queries_detect import CN, table
+from veilspark.plans.queries_detect import CN, EMAIL, luhn_sql, table
 
 QUERIES, ORACLES = {}, {}
 
@@ -32,18 +32,31 @@ def _cn(spark, sf_dir) -> DataFrame:
 @query()
 def redact_documents(spark, sf_dir):
     """The flagship: every type detected, merged and masked, with the risk of each document."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = corpus.spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return redact(docs).select("doc_id", "n_spans", "n_pending", "risk_score", "risk", "needs_review", "redacted_text")
 
 
-_EMAIL = r"[A-Za-z0-9_.+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 _NTH = "lpad(CAST(len(list_distinct(m[1:list_position(m, m[i])])) AS VARCHAR), 3, '0')"
+_MASKED = f"md5(array_to_string(list_transform(range(1, len(m) + 1), lambda i: g[i] || left(f[i], length(f[i]) - length(m[i])) || '【EMAIL-' || {_NTH} || '】'), '') || g[len(g)])"
 
 
-@query(f"SELECT doc_id, CAST(len(m) AS INTEGER) AS n_spans, CAST(least(100, 10 * len(m)) AS INTEGER) AS risk_score, CASE WHEN len(m) >= 6 THEN 'high' WHEN len(m) >= 3 THEN 'medium' ELSE 'low' END AS risk, CASE WHEN len(m) = 0 THEN md5(text) ELSE md5(array_to_string(list_transform(range(1, len(m) + 1), lambda i: g[i] || '【EMAIL-' || {_NTH} || '】'), '') || g[len(g)]) END AS redacted_md5 FROM (SELECT doc_id, text, regexp_extract_all(text, '{_EMAIL}') AS m, string_split_regex(text, '{_EMAIL}') AS g FROM documents)")
+_ID = f"SELECT *, doc_id % 2 = 0 AS id_ok, doc_id % 2 = 1 AS card_ok, CASE WHEN right(id_no, 1) = 'X' THEN {luhn_sql('left(id_no, 17)')} ELSE {luhn_sql('id_no')} END AS like_card FROM cn"
+_IDS = "CASE WHEN id_ok THEN '【ID_CARD-001】' WHEN like_card THEN '【BANK_CARD-001】' || CASE WHEN right(id_no, 1) = 'X' THEN 'X' ELSE '' END ELSE id_no END"
+_CARD = "CASE WHEN NOT card_ok THEN card WHEN like_card AND NOT id_ok THEN '【BANK_CARD-002】' ELSE '【BANK_CARD-001】' END"
+_NUMBERS = "CAST(id_ok OR like_card AS INTEGER) + CAST(card_ok AS INTEGER)"
+
+
+@query(f"{CN}, x AS ({_ID}) SELECT doc_id, '😀姓名：【PERSON-001】，证件' || {_IDS} || '，护照【PASSPORT-001】，就读于【ORG-001】，住在【ADDRESS-001】，电话【PHONE-001】，邮箱【EMAIL-001】，卡号' || {_CARD} || '。His supervisor is Dr. 【PERSON-002】, from 【ORG-002】 in 【LOCATION-001】.' AS redacted_text, CAST(9 + {_NUMBERS} AS INTEGER) AS n_spans, CAST(2 + CAST(id_ok AND like_card AS INTEGER) AS INTEGER) AS n_pending, CAST(least(100, 98 + 18 * ({_NUMBERS})) AS INTEGER) AS risk_score, 'high' AS risk, true AS needs_review FROM x")
+def redact_bilingual(spark, sf_dir):
+    """The flagship plan on the bilingual corpus: every type, conflicts between an ID and a card number included."""
+    rows = redact(_cn(spark, sf_dir).select("doc_id", "text"))
+    return rows.select("doc_id", "redacted_text", "n_spans", "n_pending", "risk_score", "risk", "needs_review")
+
+
+@query(f"SELECT doc_id, CAST(len(m) AS INTEGER) AS n_spans, CAST(least(100, 10 * len(m)) AS INTEGER) AS risk_score, CASE WHEN len(m) >= 6 THEN 'high' WHEN len(m) >= 3 THEN 'medium' ELSE 'low' END AS risk, CASE WHEN len(m) = 0 THEN md5(text) ELSE {_MASKED} END AS redacted_md5 FROM (SELECT doc_id, text, regexp_extract_all(text, '{EMAIL}', 0) AS f, regexp_extract_all(text, '{EMAIL}', 1) AS m, string_split_regex(text, '{EMAIL}') AS g FROM documents)")
 def mask_emails(spark, sf_dir):
     """E-mails masked with per-document numbers, and the risk summary."""
-    rows = redact(table(spark, sf_dir, "documents").select("doc_id", "text"), Config(enabled_entity_types=("EMAIL",)))
+    rows = redact(corpus.spread(table(spark, sf_dir, "documents").select("doc_id", "text")), Config(enabled_entity_types=("EMAIL",)))
     return rows.select("doc_id", "n_spans", "risk_score", "risk", F.md5("redacted_text").alias("redacted_md5"))
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.operators import batch, console, store, summary
+from veilspark.functions.spans import bound
+from veilspark.operators import anonymize, batch, console, review, store, summary
 from veilspark.plans.queries_detect import table
 
 QUERIES, ORACLES = {}, {}
@@ -33,14 +36,20 @@ def audit_topk(spark, sf_dir):
     return store.audits(table(spark, sf_dir, "events"), "ts", "event_id").select("event_id", "event_type", F.get_json_object("props", "$.k").alias("k"))
 
 
-@query("WITH t AS (SELECT o_orderkey FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 100) SELECT l_orderkey, l_linenumber FROM lineitem JOIN t ON l_orderkey = o_orderkey WHERE l_returnflag != 'N' AND NOT EXISTS (SELECT 1 FROM events WHERE event_type IN ('click', 'purchase') AND user_id = l_orderkey % 1000 AND event_id % 7 = l_linenumber) ORDER BY l_orderkey, l_linenumber LIMIT 100")
+_OPEN = "SELECT DISTINCT o_orderdate, l_orderkey, l_linenumber, l_returnflag FROM lineitem JOIN (SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 100) ON l_orderkey = o_orderkey WHERE l_returnflag != 'N' AND NOT EXISTS (SELECT 1 FROM events WHERE event_type IN ('click', 'purchase') AND event_id = l_orderkey AND event_id % 7 + 1 = l_linenumber)"
+
+
+@query(f"SELECT l_orderkey AS task_id, CAST(l_linenumber AS VARCHAR) || l_returnflag AS span_id, 'item' || l_linenumber AS entity, substr(repeat('abcdefghij', 12), greatest(l_linenumber * 10 - 35, 0) + 1, l_linenumber * 10 + 40 - greatest(l_linenumber * 10 - 35, 0)) AS context, CASE WHEN l_returnflag = 'R' THEN '识别器冲突' ELSE '低置信度候选' END AS reason FROM ({_OPEN}) ORDER BY o_orderdate DESC, l_orderkey, l_linenumber, l_returnflag LIMIT 100")
 def review_queue(spark, sf_dir):
-    """Open items of the newest tasks that no event resolved, the first hundred."""
-    newest = store.top(table(spark, sf_dir, "orders"), 100, F.desc("o_orderdate"), F.asc("o_orderkey")).select(F.col("o_orderkey").alias("l_orderkey"))
-    open_ = table(spark, sf_dir, "lineitem").join(F.broadcast(newest), "l_orderkey").where("l_returnflag != 'N'")
-    done = table(spark, sf_dir, "events").where(F.col("event_type").isin("click", "purchase")).select(F.col("user_id").alias("u"), (F.col("event_id") % 7).alias("n")).distinct()
-    left = open_.join(done, (F.col("u") == F.col("l_orderkey") % 1000) & (F.col("n") == F.col("l_linenumber")), "left_anti")
-    return store.top(left, 100, F.asc("l_orderkey"), F.asc("l_linenumber")).select("l_orderkey", "l_linenumber")
+    """Open items of the newest tasks that no event resolved, the first hundred, with their context."""
+    line, flag = F.col("l_linenumber"), F.col("l_returnflag")
+    one = F.struct(F.concat(line.cast("string"), flag).alias("id"), (line * 10).alias("start"), (line * 10 + 5).alias("end"), F.concat(F.lit("item"), line.cast("string")).alias("text"), F.when(flag == "N", "accepted").otherwise("pending").alias("status"), (flag == "R").alias("conflict"))
+    spans = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("task_id")).agg(F.array_sort(F.collect_set(one)).alias("spans"))
+    tasks = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("task_id"), F.col("o_orderdate").alias("created_at"), F.lit("abcdefghij" * 12).alias("text")).join(spans, "task_id", "left")
+    op = F.when(F.col("event_type") == "click", "accept").when(F.col("event_type") == "purchase", "reject").otherwise("add")
+    done = table(spark, sf_dir, "events").select(F.col("event_id").alias("task_id"), op.alias("operation"), F.explode(F.array(F.lit("A"), F.lit("R"))).alias("flag"), "event_id")
+    done = done.select("task_id", "operation", F.to_json(F.struct(F.concat((F.col("event_id") % 7 + 1).cast("string"), "flag").alias("span_id"))).alias("payload"))
+    return store.review_queue(tasks, done).select("task_id", "span_id", "entity", "context", "reason")
 
 
 @query("SELECT count(*) AS kept_tasks, (SELECT count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderdate < (SELECT max(o_orderdate) FROM orders) - INTERVAL 365 DAYS)) AS kept_events FROM orders WHERE o_orderdate >= (SELECT max(o_orderdate) FROM orders) - INTERVAL 365 DAYS")
@@ -112,16 +121,16 @@ def preview_context(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", store.preview(F.col("text")).alias("preview"), store.around(F.col("text"), F.lit(11), F.lit(20)).alias("context"))
 
 
-@query("SELECT source AS file, count(*) AS n_rows, md5(string_agg(substr(text, 1, 100), chr(10) ORDER BY doc_id)) AS content_md5 FROM documents GROUP BY source")
+@query("SELECT source AS file, count(*) AS n_rows, CAST(sum(length(text)) + count(text) - 1 AS BIGINT) AS n_chars FROM documents GROUP BY source")
 def file_group_export(spark, sf_dir):
-    """Rows grouped by file, in order, joined to one text each."""
-    rows = table(spark, sf_dir, "documents").select(F.col("source").alias("file"), F.col("doc_id").alias("row"), F.substring("text", 1, 100).alias("final_text"))
-    return batch.grouped_texts(rows).select("file", F.col("n_rows").cast("bigint").alias("n_rows"), F.md5("content").alias("content_md5"))
+    """Whole rows grouped by file, in order, in parts that many tasks write: rows and characters of each file."""
+    parts = file_group_export_whole(spark, sf_dir)
+    return parts.groupBy("file").agg(F.sum("n_rows").alias("n_rows"), (F.sum(F.length("content")) + F.count("content") - 1).alias("n_chars"))
 
 
 @query()
 def file_group_export_whole(spark, sf_dir):
-    """Whole rows grouped by file, in order, as parts that many tasks write; the SQL of file_group_export has prefixes."""
+    """The parts themselves; which rows share a part follows from ranges, so tests hold their content against brute force."""
     rows = table(spark, sf_dir, "documents").select(F.col("source").alias("file"), F.col("doc_id").alias("row"), F.col("text").alias("final_text"))
     return batch.export_parts(rows)
 
@@ -167,11 +176,11 @@ def best_system(spark, sf_dir):
     return summary.best_system(reports).select("name", "f1")
 
 
-@query("SELECT conv_id, arg_max(role, turn) AS role, max(turn) AS turn, count(*) AS n FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id, arg_max(role, turn) AS role, max(turn) AS turn, count(*) AS n FROM conversations GROUP BY conv_id ORDER BY turn DESC, conv_id LIMIT 30")
 def recent_jobs(spark, sf_dir):
-    """Latest state of each job, by recency."""
+    """The thirty jobs that were active last, with their latest state."""
     rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max_by("role", "turn").alias("role"), F.max("turn").alias("turn"), F.count("*").alias("n"))
-    return rows.orderBy(F.desc("turn"), "conv_id")
+    return store.jobs(rows, "turn", "conv_id")
 
 
 @query("SELECT DISTINCT user_id AS task_id, CAST(event_id % 5 AS VARCHAR) AS span_id FROM events WHERE event_type IN ('click', 'purchase')")
@@ -182,23 +191,39 @@ def resolved_spans(spark, sf_dir):
     return store.resolved(events)
 
 
-@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 = 0 THEN 'rejected' WHEN l_linenumber % 3 = 1 THEN 'accepted' ELSE 'pending' END AS status, CASE WHEN l_linenumber % 3 = 1 THEN 'ORG' ELSE 'PERSON' END AS entity_type, l_linenumber % 3 = 2 AS conflict FROM lineitem")
-def review_events(spark, sf_dir):
-    """Spans after their review events, folded in order."""
-    key = F.concat_ws("-", "l_orderkey", "l_linenumber")
-    base = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", key.alias("span_id"))
-    spans = base.withColumns({"start": F.lit(0), "end": F.lit(2), "entity_type": F.lit("PERSON"), "status": F.lit("pending"), "conflict": F.lit(True), "strategy": F.lit("mask"), "replacement": F.lit(None).cast("string"), "sources": F.array(F.lit("RULE"))})
-    n = F.col("l_linenumber") % 3
-    first = base.where(n != 2).select(F.lit(1).alias("ord"), "span_id", F.lit("accept").alias("operation"), F.lit(None).cast("string").alias("after"))
-    last = base.where(n != 2).select(F.lit(2).alias("ord"), "span_id", F.when(n == 0, "reject").otherwise("change_type").alias("operation"), F.when(n == 1, "ORG").alias("after"))
-    return store.review(spans, first.unionByName(last)).select("l_orderkey", "l_linenumber", "status", "entity_type", "conflict")
+_CASE = "c_custkey % 12"
+_FIRST = f"CASE {_CASE} WHEN 2 THEN name WHEN 3 THEN '某机构' WHEN 6 THEN '【PERSON-001】' WHEN 7 THEN 'Somebody' WHEN 10 THEN '自然人' ELSE '某人' END || CASE {_CASE} WHEN 4 THEN ' ' ELSE ' met ' END"
+_SECOND = f"CASE {_CASE} WHEN 6 THEN '【PERSON-002】' WHEN 9 THEN '某人' ELSE '【PERSON-001】' END || CASE {_CASE} WHEN 8 THEN '. 【PERSON-002】.' ELSE '. Eve.' END"
 
 
-@query("SELECT o_orderkey, dense_rank() OVER (PARTITION BY o_custkey ORDER BY f) AS nth FROM (SELECT *, min(o_orderkey) OVER (PARTITION BY o_custkey, o_orderpriority) AS f FROM orders)")
+@query(f"SELECT c_custkey, redacted_text, CASE WHEN c_custkey % 24 < 12 THEN redacted_text ELSE 'by hand' END AS final_text, CASE {_CASE} WHEN 4 THEN name || ' met' ELSE name END || CASE WHEN {_CASE} IN (1, 3, 4, 6, 7) THEN ' accepted' WHEN {_CASE} = 2 THEN ' rejected' ELSE ' pending' END || CASE WHEN {_CASE} IN (1, 2, 3, 4, 6, 7) THEN ' HUMAN,RULE' ELSE ' RULE' END || CASE WHEN {_CASE} IN (1, 2, 3, 4) THEN ' false' ELSE ' true' END AS first_span, CAST(CASE {_CASE} WHEN 2 THEN 1 WHEN 8 THEN 3 ELSE 2 END AS INTEGER) AS entity_count, CAST(CASE WHEN {_CASE} IN (1, 2, 3, 4, 6, 7) THEN 0 ELSE 1 END AS INTEGER) AS pending_count, CAST(CASE {_CASE} WHEN 2 THEN 10 WHEN 8 THEN 30 ELSE 20 END AS INTEGER) AS risk_score, CASE {_CASE} WHEN 5 THEN 'active spans overlap' WHEN 11 THEN 'span id exists,strength is not 1, 2 or 3,no such span' ELSE '' END AS refused FROM (SELECT c_custkey, name, {_FIRST} || {_SECOND} AS redacted_text FROM (SELECT c_custkey, 'Ann' || c_custkey AS name FROM customer))")
+def review_events(spark, sf_dir):
+    """Tasks after their review: each of the nine operations, refused events, and what is made anew from the spans."""
+    key, n = F.col("c_custkey").cast("string"), F.col("c_custkey") % 12
+    name, other = F.concat(F.lit("Ann"), key), F.concat(F.lit("Bob"), key)
+    size = F.length(name)
+    span = lambda i, start, value, status, conflict, strategy: F.struct(F.lit(i).alias("id"), start.cast("int").alias("start"), (start + F.length(value)).cast("int").alias("end"), value.alias("text"), F.lit("PERSON").alias("entity_type"), F.lit(0.7).alias("score"), F.array(F.lit("RULE")).alias("sources"), F.lit(status).alias("status"), F.lit(conflict).alias("conflict"), F.lit(strategy).alias("strategy"), F.lit(None).cast("string").alias("replacement"), F.lit(None).cast("string").alias("last_operation"))
+    base = table(spark, sf_dir, "customer").withColumn("task_id", F.col("c_custkey")).withColumn("text", F.concat(name, F.lit(" met "), other, F.lit(". Eve.")))
+    spans = F.array(span("b", size + 5, other, "accepted", False, "mask"), span("a", F.lit(0), name, "pending", True, "generalize"))
+    tasks = base.select("c_custkey", "task_id", "text", spans.alias("spans"), F.lit("generalize").alias("strategy"), F.lit(2).alias("privacy_strength"), F.lit("strict").alias("risk_level"), F.lit("by hand").alias("final_text"), (F.col("c_custkey") % 24 >= 12).alias("has_manual_edits"))
+    eve = span("c", 2 * size + 7, F.lit("Eve"), "accepted", False, "mask")
+    none = F.lit(None).cast(review.SPAN)
+    one = lambda k, op, after=None, on="a", add=None, ord_=1: base.where(n == k).select("task_id", F.lit(ord_).cast("bigint").alias("ord"), F.lit(op).alias("operation"), F.lit(on).alias("span_id"), (after if after is not None else F.lit(None)).cast("string").alias("after"), (none if add is None else add.cast(review.SPAN)).alias("span"))
+    to = lambda extra: F.concat(F.lit("0:"), (size + extra).cast("string"))
+    events = [one(1, "accept"), one(2, "reject"), one(3, "change_type", F.lit("ORG")), one(4, "adjust_boundary", to(4)), one(5, "adjust_boundary", to(6)), one(6, "set_span_strategy", F.lit("mask")), one(7, "set_replacement", F.lit("Somebody")), one(8, "add", on="c", add=eve), one(9, "set_strategy", F.lit("generalize")), one(10, "set_strength", F.lit("3")), one(11, "add", add=span("a", F.lit(0), name, "accepted", False, "mask")), one(11, "set_strength", F.lit("9"), ord_=2), one(11, "accept", on="zz", ord_=3)]
+    out = review.apply(tasks, functools.reduce(DataFrame.unionAll, events))
+    a = F.col("spans")[0]
+    said = F.concat_ws(" ", a["text"], a["status"], F.array_join(a["sources"], ","), a["conflict"].cast("string"))
+    return out.select("c_custkey", "redacted_text", "final_text", said.alias("first_span"), "entity_count", "pending_count", "risk_score", F.array_join(F.transform("refused", lambda r: r["reason"]), ",").alias("refused"))
+
+
+@query("SELECT o_orderkey, '【ORG-' || lpad(CAST(dense_rank() OVER (PARTITION BY o_custkey ORDER BY f) AS VARCHAR), 3, '0') || '】' AS label FROM (SELECT *, min(o_orderkey) OVER (PARTITION BY o_custkey, o_orderpriority) AS f FROM orders)")
 def mask_numbers(spark, sf_dir):
-    """First-appearance numbers within a key, long form."""
-    first = F.min("o_orderkey").over(Window.partitionBy("o_custkey", "o_orderpriority"))
-    return table(spark, sf_dir, "orders").withColumn("f", first).select("o_orderkey", F.dense_rank().over(Window.partitionBy("o_custkey").orderBy("f")).cast("bigint").alias("nth"))
+    """First-appearance numbers of the texts of a document's masked spans."""
+    one = F.struct(F.col("o_orderkey").alias("start"), F.col("o_orderpriority").alias("text"), F.lit("ORG").alias("entity_type"), F.lit("mask").alias("strategy"))
+    docs = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(one)).alias("spans"))
+    labels = bound(anonymize.numbering(F.col("spans")), lambda numbers: F.transform("spans", lambda s: F.struct(s["start"].alias("o_orderkey"), anonymize.mask(s, numbers).alias("label"))))
+    return docs.select(F.explode(labels).alias("x")).select("x.*")
 
 
 @query("SELECT p_partkey, array_to_string(list_filter(list_transform(string_split_regex(p_name || ', ,' || p_brand || '，' || p_type, '[，,]'), lambda x: trim(x)), lambda x: x != ''), '|') AS terms FROM part")
