@@ -16,6 +16,7 @@ from math import exp, log
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilspark.functions.spans import blocks, bound, clusters, cut, quoted, running
 from veilspark.llm.common import materialize, table
 
 KINDS = ("email", "ip", "card", "phone")
@@ -46,12 +47,21 @@ CONTEXT = 40
 LABELERS = ("shape", "gazetteer", "for", "against", "valid", "border")
 
 
-def _found(text: str, pattern: str, needs: str) -> str:
-    """SQL for an array of start, end, val, before, after of all matches, offsets in code points."""
-    p, needs = (x.replace("\\", "\\\\").replace("'", "\\'") for x in (pattern, needs))
-    fold = "aggregate(sequence(0, size(x.m) - 1), named_struct('at', 0, 'out', cast(array() as array<struct<start:int,end:int,val:string,before:string,after:string>>)), (a, i) -> named_struct('at', a.at + length(x.g[i]) + length(x.m[i]), 'out', concat(a.out, array(named_struct('start', a.at + length(x.g[i]), 'end', a.at + length(x.g[i]) + length(x.m[i]), 'val', x.m[i], 'before', right(x.g[i], {c}), 'after', left(x.g[i + 1], 1))))), a -> a.out)"
-    one = f"transform(array(named_struct('m', if({text} rlike '{needs}', regexp_extract_all({text}, '{p}', 0), cast(array() as array<string>)))), y -> named_struct('m', y.m, 'g', if(size(y.m) > 0, split({text}, '{p}', -1), null)))"
-    return f"flatten(transform(filter({one}, x -> size(x.m) > 0), x -> {fold.format(c=CONTEXT)}))"
+def _found(text: str, pattern: str, needs: str) -> Column:
+    """Array of start, end, val, before, after of all matches in a text column, offsets in code points; linear but for the
+    doubling of the running sums."""
+    p = quoted(pattern)
+    found = F.expr(f"if({text} rlike {quoted(needs)}, regexp_extract_all({text}, {p}, 0), cast(array() as array<string>))")
+
+    def placed(m: Column) -> Column:
+        def spans(g: Column) -> Column:
+            ends = running(F.transform(m, lambda x, i: F.length(F.get(g, i)) + F.length(x)), lambda a, b: a + b)
+            one = lambda e: lambda x, i: F.struct((F.get(e, i) - F.length(x)).alias("start"), F.get(e, i).alias("end"), x.alias("val"), F.right(F.get(g, i), F.lit(CONTEXT)).alias("before"), F.left(F.get(g, i + 1), F.lit(1)).alias("after"))
+            return bound(ends, lambda e: F.transform(m, one(e)))
+
+        return bound(F.expr(f"split({text}, {p}, -1)"), spans)
+
+    return F.flatten(F.transform(F.filter(F.array(found), lambda m: F.size(m) > 0), placed))
 
 
 def _digits(c: Column) -> Column:
@@ -107,11 +117,27 @@ def annotate(docs: DataFrame, text: str = "text") -> DataFrame:
     out = docs
     for shape, patterns in (("base", BASE), ("loose", LOOSE)):
         for kind, p in patterns.items():
-            out = out.withColumn(f"{shape}_{kind}", F.expr(_found(text, p, NEEDS[shape][kind])))
+            out = out.withColumn(f"{shape}_{kind}", _found(text, p, NEEDS[shape][kind]))
     made = {shape: F.concat(*[_candidates(kind, shape == "base") for kind in patterns]) for shape, patterns in (("base", BASE), ("loose", LOOSE))}
     out = out.withColumn("strict", made["base"]).withColumn("proposed", made["loose"])
-    apart = F.filter("proposed", lambda x: ~F.exists("strict", lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"])))
-    return out.withColumn("spans", F.concat("strict", apart)).select(*docs.columns, "spans")
+    return out.withColumn("spans", F.concat("strict", _apart(F.col("proposed"), F.col("strict")))).select(*docs.columns, "spans")
+
+
+def _apart(proposed: Column, strict: Column) -> Column:
+    """Proposed spans that no strict one overlaps: among the strict ones that begin before its end, none ends after its start.
+
+    Starts of strict and ends of proposed spans are sorted together, and the furthest end so far runs along.
+    """
+    none = F.lit(None).cast("struct<start:int,rank:int,end:int,kind:string,base:boolean,votes:array<int>>")
+    begins = F.transform(strict, lambda b: F.struct(b["start"].alias("at"), F.lit(1).alias("strict"), b["end"].alias("end"), none.alias("x")))
+    closes = F.transform(proposed, lambda x: F.struct(x["end"].alias("at"), F.lit(0).alias("strict"), F.lit(-1).alias("end"), x.alias("x")))
+
+    def kept(events: Column) -> Column:
+        far = running(F.transform(events, lambda e: e["end"]), F.greatest)
+        clear = lambda f: F.filter(F.transform(events, lambda e, i: F.when((e["strict"] == 0) & (F.get(f, i) <= e["x"]["start"]), e["x"])), lambda x: x.isNotNull())
+        return bound(far, clear)
+
+    return F.when((F.size(proposed) == 0) | (F.size(strict) == 0), proposed).otherwise(bound(F.array_sort(F.concat(begins, closes)), kept))
 
 
 def reliabilities(counts: list[tuple[int, tuple[int, ...], int]], rounds: int = 50) -> list[float]:
@@ -189,7 +215,9 @@ def _joined(spans: Column) -> Column:
 def find(docs: DataFrame) -> DataFrame:
     """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans`` of every row (columns ``doc_id, text``).
 
-    A null text is empty and has no spans.  Repeated rows each get a row.
+    A null text is empty and has no spans.  Repeated rows each get a row, whole
+    texts of any length are read, a null doc_id stays null, other columns are not
+    read, and an empty table gives no rows.
     """
     rows = docs.select(F.col("doc_id").cast("bigint"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = materialize(annotate(rows).select("doc_id", "spans"), "spans")
@@ -200,20 +228,34 @@ def find(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with every span of personal data replaced by its kind in brackets; null texts stay null."""
+    """``docs`` with every span of personal data replaced by its kind in brackets; null texts stay null.
+
+    Of overlapping spans the one that begins first stays.  Repeated rows are rewritten one by one, texts of any length
+    whole and in linear time, other columns stay as they are, and an empty table gives no rows.
+    """
     texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     weights = fit(annotate(texts))
-    fold = F.aggregate(
-        "spans",
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda a, x: F.when(x["start"] < a["at"], a).otherwise(F.struct(x["end"].alias("at"), F.concat(a["out"], F.substring("text", a["at"] + 1, x["start"] - a["at"]), F.lit("["), F.upper(x["kind"]), F.lit("]")).alias("out"))),
-        lambda a: F.concat(a["out"], F.substring("text", a["at"] + 1, F.length("text") - a["at"])),
-    )
     marked = annotate(docs.select(F.struct("*").alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))).withColumn("spans", accepted(weights))
-    text = F.when(F.col("row.text").isNull() | (F.size("spans") == 0), F.col("row.text")).otherwise(fold)
+    text = F.when(F.col("row.text").isNull() | (F.size("spans") == 0), F.col("row.text")).otherwise(bound(F.col("spans"), lambda s: _rewritten(F.col("text"), s)))
     return marked.select(*[text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
+def _rewritten(text: Column, spans: Column) -> Column:
+    """The text with sorted spans replaced; each piece is read once."""
+    slim = F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))
+    kept = F.array().cast("array<struct<start:int,end:int,kind:string>>")
+    greedy = lambda out, x: F.when((F.size(out) == 0) | (x["start"] >= F.try_element_at(out, F.lit(-1))["end"]), F.concat(out, F.array(x))).otherwise(out)
+    apart = F.flatten(F.transform(clusters(slim), lambda group: F.when(F.size(group) < 2, group).otherwise(F.aggregate(group, kept, greedy))))
+    by = lambda p: F.transform(p, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]")).alias("by")))
+
+    def pieces(p: Column, held: Column) -> Column:
+        before = lambda i: F.when(i == 0, 0).otherwise(F.get(p, i - 1)["end"])
+        made = F.transform(p, lambda x, i: F.concat(cut(text, held, before(i), x["start"]), x["by"]))
+        return F.concat(F.array_join(made, ""), cut(text, held, F.get(p, F.size(p) - 1)["end"], F.length(text)))
+
+    return bound(bound(apart, by), lambda p: bound(blocks(text, F.size(p)), lambda held: pieces(p, held)))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in all documents."""
     return find(table(spark, sf_dir, "documents"))
