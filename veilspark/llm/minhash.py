@@ -83,10 +83,9 @@ def components(nodes: DataFrame, texts: DataFrame, links: DataFrame, shingle: in
     spread = nodes.select("node", "n", F.explode("buckets").alias("bucket"))
     shared = spread.groupBy("bucket").agg(F.min_by("node", F.xxhash64("bucket", "node")).alias("first"), F.count("*").alias("members")).where("members > 1")
     members = materialize(spread.join(shared, "bucket"), "members")
-    # The join ends its stage, so that adaptive execution can split a text with many copies before they are combined.
-    wanted = materialize(texts.join(members.select("node").distinct(), "node", "left_semi"), "wanted")
-    sets = wanted.groupBy("node").agg(F.first("text").alias("text")).mapInArrow(_sets(shingle), "node bigint, grams array<bigint>")
-    sets = materialize(sets, "sets")
+    # A text with many copies is one row of each task before the shuffle, and one row after it.
+    single = texts.groupBy("node").agg(F.first("text").alias("text")).join(members.select("node").distinct(), "node", "left_semi")
+    sets = materialize(single.mapInArrow(_sets(shingle), "node bigint, grams array<bigint>"), "sets")
     near = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * similarity - 1e-9  # else no sets of these sizes are alike
     side = lambda df, k: df.select("bucket", F.col("node").alias(f"node_{k}"), F.col("n").alias(f"n_{k}"), *([(F.col("members") > FEW).alias("leads")] if k == "a" else []))
     heads = members.where((F.col("members") <= FEW) | (F.col("node") == F.col("first")))
