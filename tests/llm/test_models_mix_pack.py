@@ -109,6 +109,7 @@ def library():
 
 
 HARD = ["", " ", "\n\n word  two\t\tx \n", "don't 'LL <|endoftext|> 12345 +-=", "a\x1cb\x1d c\x85d\xa0e\u3000f \u2003 g", "éé e\u0301 ﬁ 日本語 😀😀  ", "x" * 300, " " * 40 + "y", "\r\n\r\n a\x0b\x0cb ", "١٢٣ ⅷ ²", "\u200b\ufeff z"]
+HARD += ["a" + c * 150_000 + "b" for c in (" ", "\n", "x", "ab ", " \n", "\u3000")] + ["x" + " " * 2_000_000 + "y"]
 HARD += ["hello <|endoftext|> there", "<|endoftext|>", "<|endoftext|><|endoftext|> x", "in<|endoftext|>side", "ends <|endoftext|>", "  <|endoftext|>  ", "<|endoftext|", "<|<|endoftext|>|>", "<|ENDOFTEXT|>"]
 
 

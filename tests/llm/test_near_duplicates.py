@@ -130,6 +130,7 @@ def test_embeddings_equal_brute_force(spark):
 
 def test_embeddings_in_chunks(spark, monkeypatch):
     monkeypatch.setattr(embeddings, "CHUNK", 16)
+    monkeypatch.setattr(embeddings, "SMALL", 4)
     rng = np.random.default_rng(3)
     x = np.float32(rng.standard_normal(8) + 0.02 * rng.standard_normal((90, 8)))
     df = spark.createDataFrame([(i, [float(v) for v in r], 1) for i, r in enumerate(x)], "vec_id bigint, embedding array<float>, label int")

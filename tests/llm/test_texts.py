@@ -330,3 +330,20 @@ def test_trees_learn_from_labelled_urls(spark):
     rows = urls.judge(spark.createDataFrame([(i, u) for i, (u, _) in enumerate(bad[100:] + good[100:])], "page_id bigint, url string"), (), labelled).collect()
     right = sum((r["verdict"] == "block") == (r["page_id"] < 50) for r in rows)
     assert right >= 98 and all(r["rule"] is None for r in rows)
+
+
+def test_held_out_agreement_with_rules(spark):
+    """Trees that learn three quarters of the URLs that rules decide agree with the rules on the last quarter."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
+    rules = urls.judge(pages).where("rule is not null").join(pages, "page_id").select("page_id", "url", (F.col("verdict") == "block").cast("int").alias("blocked"))
+    asked = F.crc32(F.col("url")) % 4 == 2
+    rows = urls.judge(rules.where(asked).select("page_id", "url"), (), rules.where(~asked)).join(rules, "page_id").collect()
+    right = sum((r["verdict"] == "block") == bool(r["blocked"]) for r in rows)
+    assert len(rows) > 100 and right >= 0.97 * len(rows)
+
+
+def test_odd_urls(spark):
+    long = "http://h.example.com/" + "a/b?c=d&" * 20_000
+    df = spark.createDataFrame([(1, long), (1, long), (None, "http://x.net/de/1"), (2, None)], "page_id bigint, url string").withColumn("score", F.lit("clash"))
+    rows = urls.judge(df).collect()
+    assert sorted(str(r["page_id"]) for r in rows) == ["1", "1", "2", "None"] and {r["verdict"] for r in rows} <= {"allow", "block"}

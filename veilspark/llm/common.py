@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -22,9 +23,11 @@ _FOLDER: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared scratch folder; a temporary one where none is set (tests)."""
+    """The cluster's shared scratch folder; a temporary one where none is set and there is one machine only (tests)."""
     if folder := spark.conf.get("spark.checkpoint.dir", None):
         return folder.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     if "own" not in _FOLDER:
         _FOLDER["own"] = tempfile.mkdtemp(prefix="veilspark-")
     return _FOLDER["own"]

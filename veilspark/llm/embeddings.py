@@ -36,8 +36,8 @@ CELL = 1.8
 MISSED = 1e-4
 #: Vectors unlike a given one that a group's cell holds, on average.
 UNLIKE = 0.1
-#: Rows of a cell that meet in one task; larger cells are dealt in pairs of chunks.
-CHUNK = 2048
+#: Rows that meet in one call; larger cells are dealt in pairs of chunks, and cells of SMALL rows at most share a call.
+CHUNK, SMALL = 2048, 64
 #: Query rows compared at once within a task.
 STRIP = 128
 
@@ -127,36 +127,53 @@ def _verifier(groups: int, lines: int, w: float, cosine: float):
     least, first = least_count(COUNTED), least_count(FIRST)
 
     def verify(key: tuple[pa.Scalar, ...], chunk: pa.Table) -> pa.Table:
-        dim, group, same = key[1].as_py(), key[2].as_py(), key[4].as_py() == key[5].as_py()
-        cid, n, own = (np.array(chunk.column(k).to_pylist(), np.int64) for k in ("cid", "n", "own"))
+        """One pack of small cells (``i`` is -1), or two chunks of a large cell."""
+        dim, group, i, j = (key[k].as_py() for k in (0, 1, 3, 4))
+        cid, n, own, place = (np.array(chunk.column(k).to_pylist(), np.int64) for k in ("cid", "n", "own", "place"))
         unit = _units(chunk.column("vector"))
         points = unit @ _lines(dim, COUNTED, 7)
-        order = np.argsort(points[:, 0], kind="stable")  # sorted by the first projection; windows are ranges of it
-        cid, n, own, unit, points = cid[order], n[order], own[order], unit[order], points[order]
-        keys = cells(unit, groups, lines)[:, :group]
+        order = np.lexsort((points[:, 0], place))  # sorted by the first projection within a cell; windows are ranges of it
+        cid, n, own, place, unit, points = cid[order], n[order], own[order], place[order], unit[order], points[order]
         labels, links = np.arange(len(cid)), np.zeros(len(cid), np.int64)
-        line = points[:, 0]
-        q = np.arange(len(cid)) if same else np.flatnonzero(own == key[4].as_py())
+
+        def settle(a: np.ndarray, b: np.ndarray) -> None:
+            for start in range(0, len(a), 1 << 16):  # few at a time, so that a cell of copies takes no more memory
+                x, y = a[start : start + (1 << 16)], b[start : start + (1 << 16)]
+                keep = (np.abs(points[x] - points[y]) <= w).sum(1) >= least
+                x, y = x[keep], y[keep]
+                keep = np.einsum("ij,ij->i", unit[x], unit[y]) >= cosine
+                x, y = x[keep], y[keep]
+                if not len(x):
+                    continue
+                rows, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+                keys = cells(unit[rows], groups, lines)[:, :group]
+                keep = ~(keys[at[: len(x)]] == keys[at[len(x) :]]).any(1)  # met in an earlier group: counted there
+                x, y = x[keep], y[keep]
+                np.add.at(links, x, n[y])
+                np.add.at(links, y, n[x])
+                _merge(labels, x, y)
+
+        line, far = points[:, 0], 5 / REACH * w  # a pair at the least cosine stands further apart on a line once in a million times
+        if i < 0:
+            for step in range(1, len(cid)):
+                a = np.flatnonzero(place[step:] == place[:-step])
+                if not len(a):
+                    break
+                a = a[line[a + step] - line[a] <= far]
+                settle(a, a + step)
+        q = np.arange(0 if i < 0 else len(cid)) if i == j else np.flatnonzero(own == i)
         for at in range(0, len(q), STRIP):
             s = q[at : at + STRIP]
-            d = np.arange(np.searchsorted(line, line[s[0]] - w, "left"), np.searchsorted(line, line[s[-1]] + w, "right"))
-            d = d[d > s[0]] if same else d[own[d] != key[4].as_py()]
+            d = np.arange(np.searchsorted(line, line[s[0]] - far, "left"), np.searchsorted(line, line[s[-1]] + far, "right"))
+            d = d[d > s[0]] if i == j else d[own[d] != i]
             hits = np.zeros((len(s), len(d)), np.int8)
             for k in range(FIRST):
                 hits += np.abs(points[s, k][:, None] - points[d, k][None, :]) <= w
             meet = hits >= first
-            if same:
+            if i == j:
                 meet &= d[None, :] > s[:, None]
             a, b = np.nonzero(meet)
-            for start in range(0, len(a), 1 << 16):  # few at a time, so that a cell of copies takes no more memory
-                x, y = s[a[start : start + (1 << 16)]], d[b[start : start + (1 << 16)]]
-                keep = (np.abs(points[x] - points[y]) <= w).sum(1) >= least
-                x, y = x[keep], y[keep]
-                keep = (np.einsum("ij,ij->i", unit[x], unit[y]) >= cosine) & ~(keys[x] == keys[y]).any(1)  # met in an earlier group: counted there
-                x, y = x[keep], y[keep]
-                np.add.at(links, x, n[y])
-                np.add.at(links, y, n[x])
-                _merge(labels, x, y)
+            settle(s[a], d[b])
         linked = np.flatnonzero(links)
         return pa.table({"a": cid[linked], "b": cid[labels[linked]], "links": links[linked]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())]))
 
@@ -187,15 +204,18 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     groups, lines = shape(largest, cosine)
     packed = distinct.mapInArrow(_pack, f"label {kind}, dim int, cid bigint, n bigint, vector binary")
     keyed = packed.mapInArrow(_dealer(groups, lines), f"label {kind}, dim int, cid bigint, grp int, cell bigint")
-    keyed = materialize(keyed, "cells")
-    place = ["label", "dim", "grp", "cell"]
-    shared = keyed.groupBy(*place).agg(F.count("*").alias("size")).where("size > 1")
-    k = F.ceil(F.col("size") / CHUNK).cast("int")
-    met = keyed.join(shared, place).withColumn("k", k).withColumn("own", F.pmod(F.xxhash64("cid", "cell"), F.col("k")).cast("int"))
-    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    met = met.select(*place, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cid")
+    keyed = keyed.select("dim", "grp", F.xxhash64("label", "dim", "grp", "cell").alias("place"), "cid")
+    shared = keyed.groupBy("place").agg(F.count("*").alias("size")).where("size > 1")
+    met = materialize(keyed.join(shared, "place"), "met")
+    small = F.col("size") <= SMALL
+    packs = max(1, (met.where(small).count() // groups) // CHUNK)  # of each group; a pack is about a chunk
+    k = F.when(small, 1).otherwise(F.ceil(F.col("size") / CHUNK)).cast("int")
+    met = met.withColumn("own", F.pmod(F.xxhash64("cid", "place"), k).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), k - 1)))
+    tile = lambda c: F.when(small, -1).otherwise(c).alias
+    slot = F.when(small, F.pmod("place", F.lit(packs))).otherwise(F.col("place"))
+    met = met.select("dim", "grp", slot.alias("slot"), tile(F.least("own", "other"))("i"), tile(F.greatest("own", "other"))("j"), "place", "own", "cid")
     met = met.join(packed.select("cid", "n", "vector"), "cid")
-    found = met.groupBy(*place, "i", "j").applyInArrow(_verifier(groups, lines, window(cosine), cosine), "a bigint, b bigint, links bigint")
+    found = met.groupBy("dim", "grp", "slot", "i", "j").applyInArrow(_verifier(groups, lines, window(cosine), cosine), "a bigint, b bigint, links bigint")
     found = materialize(found, "links")
     links = found.groupBy(F.col("a").alias("cid")).agg(F.sum("links").alias("links"))
     labels = connected_components(found.select("a", "b")).select(F.col("v").alias("cid"), "component")

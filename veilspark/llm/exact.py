@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from veilspark.llm.common import materialize, quantile_splits, range_bucket, table
 
-#: Rows of one range when documents are ordered; ranges are limited in number, not in rows.
-RANGE_ROWS, MOST_RANGES = 1000, 4096
+#: Rows of one range when documents are ordered; ranges are limited in number, not in rows (a window spills what it holds).
+RANGE_ROWS, MOST_RANGES = 1000, 65_536
 #: The filter of digests that occur again has at most this many entries (a proven bound for its broadcast).
 FILTER_BITS = 18
 
@@ -70,6 +70,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     Likeness of exact digests is 1 (equal canonical bytes) or 0.  Repeated rows
     each get a row; a table of one row follows itself; an empty table gives none.
+    Texts of any length are read whole, a null doc_id stays null and comes last,
+    and other columns are not read.
     """
     base = docs.select(F.col("doc_id").cast("bigint"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     rows = following(base.withColumn("h", digest(canonical(F.col("text")))))

@@ -91,16 +91,12 @@ def components(nodes: DataFrame, texts: DataFrame, links: DataFrame, shingle: in
     heads = members.where((F.col("members") <= FEW) | (F.col("node") == F.col("first")))
     met = side(heads, "a").join(side(members, "b"), "bucket").where(near & ((F.col("node_a") < F.col("node_b")) | (F.col("leads") & (F.col("node_a") > F.col("node_b")))))
     tried = met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
-    links = materialize(links.unionByName(_alike(tried, sets, similarity)), "links")
-    found = connected_components(links)
+    found = connected_components(links.unionByName(_alike(tried, sets, similarity)))
     large = members.where(F.col("members") > FEW)
     if not large.limit(1).count():
         return found
-    more = materialize(_outside(large, found, sets, similarity), "more")
-    if not more.limit(1).count():
-        return found
-    # Components are joined by what was found between them; a node without a link so far is its own component.
-    joined = materialize(connected_components(more).select(F.col("v").alias("component"), F.col("component").alias("to")), "joined")
+    # Components are joined by what is found between them; a node without a link so far is its own component.
+    joined = connected_components(_outside(large, found, sets, similarity)).select(F.col("v").alias("component"), F.col("component").alias("to"))
     moved = found.join(joined, "component", "left").select("v", F.coalesce("to", "component").alias("component"))
     alone = joined.join(found.select(F.col("v").alias("component")), "component", "left_anti")
     return moved.unionByName(alone.select(F.col("component").alias("v"), F.col("to").alias("component")))
@@ -113,7 +109,6 @@ def _outside(large: DataFrame, found: DataFrame, sets: DataFrame, similarity: fl
     with all members.  Queries and members are dealt to tiles of bounded rows and set sizes by a hash.
     """
     placed = large.join(found.withColumnRenamed("v", "node"), "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component"))
-    placed = materialize(placed, "placed")
     counted = placed.groupBy("bucket", "component").agg(F.count("*").alias("rows"), F.sum("n").alias("grams"))
     tiles = lambda rows, grams: F.greatest(F.ceil(rows / TILE_ROWS), F.ceil(grams / TILE_GRAMS), F.lit(1)).cast("int")
     most = F.struct("rows", "component")

@@ -31,16 +31,14 @@ BORDER_SAMPLE = 20
 RANGE_CHARS = 4_000_000
 MOST_RANGES = 65_536
 
-#: The vocabulary's own white space (Unicode White_Space) as a character class.
-_SPACE = "\\t-\\r \x85\xa0  -     　"
-#: Pieces never span these borders, so a chunk's ids do not depend on its neighbours.
-_CHUNK = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
-_MOST_CACHED, _LONGEST_CACHED = 200_000, 48
+#: The faster encoder's matcher has no stack for blanks in such a run; the tokenizers library reads texts with one.
+_LONG_RUN = 100_000
+_RUN = re.compile(rf"\s{{{_LONG_RUN}}}")
 
 
 @lru_cache(2)
 def _encoder(path: str):
-    """A byte-level BPE with the vocabulary at ``path`` (a tokenizers JSON file), its cache of chunks, and its added tokens.
+    """A byte-level BPE with the vocabulary at ``path`` (a tokenizers JSON file) and its added tokens.
 
     The ranks come from the same file; ``tests/llm`` holds the ids against the
     tokenizers library's own.  As there by default, an added token's string in a
@@ -59,7 +57,7 @@ def _encoder(path: str):
     known = {c: np.array([t["id"]], "<u4").tobytes() for c, t in added.items()}
     pattern = re.compile("(" + "|".join(map(re.escape, sorted(known, key=len, reverse=True))) + ")") if known else None
     ranks = {bytes(_byte_of(c) for c in piece): i for piece, i in model["vocab"].items() if all(c in _BYTES for c in piece) and i < len(model["merges"]) + 256}
-    return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), {}, known, pattern
+    return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), known, pattern
 
 
 def _byte_map() -> dict[str, int]:
@@ -76,26 +74,22 @@ def _byte_of(c: str) -> int:
     return _BYTES[c]
 
 
+@lru_cache(2)
+def _library(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 def encode(text: str, path: str) -> np.ndarray:
     """Ids of a whole text as unsigned 32-bit numbers; no token is added at its ends."""
-    encoder, cache, known, pattern = _encoder(path)
-    if pattern is not None and (parts := pattern.split(text))[1:]:
-        return np.frombuffer(b"".join(known[p] if k % 2 else _plain(p, encoder, cache) for k, p in enumerate(parts)), "<u4")
-    return np.frombuffer(_plain(text, encoder, cache), "<u4")
-
-
-def _plain(text: str, encoder, cache: dict[str, bytes]) -> bytes:
-    out = []
-    for chunk in _CHUNK.findall(text):
-        ids = cache.get(chunk)
-        if ids is None:
-            ids = np.array(encoder.encode_ordinary(chunk), "<u4").tobytes()
-            if len(chunk) <= _LONGEST_CACHED:
-                if len(cache) >= _MOST_CACHED:
-                    cache.clear()
-                cache[chunk] = ids
-        out.append(ids)
-    return b"".join(out)
+    if len(text) > _LONG_RUN and _RUN.search(text):
+        return np.array(_library(path).encode(text, add_special_tokens=False).ids, "<u4")
+    encoder, known, pattern = _encoder(path)
+    if any(c in text for c in known):
+        parts = pattern.split(text)
+        return np.frombuffer(b"".join(known[p] if k % 2 else np.array(encoder.encode_ordinary(p), "<u4").tobytes() for k, p in enumerate(parts)), "<u4")
+    return np.array(encoder.encode_ordinary(text), "<u4")
 
 
 @lru_cache(1)

@@ -125,8 +125,8 @@ def deduplicate(docs: DataFrame, shingle: int = minhash.SHINGLE, similarity: flo
     texts = known.select(F.col("node_of_row").alias("node"), text.alias("text"))
     prints = known.select("key_of_row", "node_of_row", text).mapInArrow(_prints(shingle), "key bigint, node bigint, fp bigint, n bigint, buckets array<bigint>")
     rows = materialize(prints, "prints")
-    nodes = materialize(rows.groupBy("node").agg(F.min("key").alias("rep"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("buckets").alias("buckets")), "nodes")
-    heads = materialize(nodes.groupBy("fp").agg(F.min("node").alias("head")), "heads")
+    nodes = rows.groupBy("node").agg(F.min("key").alias("rep"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("buckets").alias("buckets"))
+    heads = nodes.groupBy("fp").agg(F.min("node").alias("head"))
     links = nodes.join(heads, "fp").where("node != head").select(F.col("head").alias("a"), F.col("node").alias("b"))
     near = close_pairs(heads, radius, blocks)
     for k in "ab":

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import table
+from veilspark.llm.common import few_by_hash, table
 from veilspark.llm.gbt import train
 
 #: (verdict, host, path): fits its host and all its subdomains where the path starts so; the longest wins.
@@ -93,7 +93,9 @@ def judge(pages: DataFrame, rules=RULES, labelled: DataFrame | None = None) -> D
     ``labelled`` has ``url, blocked`` (0 or 1); the trees learn from at most
     TRAIN_URLS of them, chosen by hash.  Score is the trees' chance of block; it
     decides at 0.5 where no rule fits.  Null or malformed URLs have empty host
-    and path and are judged like any other.
+    and path and are judged like any other, URLs of any length whole.  Repeated
+    rows each get a row, a null page_id stays null, other columns are not read,
+    and an empty table gives no rows.
     """
     rows = pages.select(F.col("page_id").cast("bigint"), F.col("url").cast("string"))
     rows = rows.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
@@ -104,7 +106,7 @@ def judge(pages: DataFrame, rules=RULES, labelled: DataFrame | None = None) -> D
     else:
         known = labelled.select(F.col("url").cast("string"), F.col("blocked").cast("double").alias("y")).where("y is not null")
         known = known.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
-    sample = known.orderBy(F.xxhash64("url"), "url").limit(TRAIN_URLS)
+    sample = few_by_hash(known.select("url", "host", "path", "y"), F.xxhash64("url"), TRAIN_URLS)
     drawn = features(sample, {}, 0.0).withColumn("suffix", suffix_of(F.col("host"))).select("y", "suffix", *FEATURES[:-1]).collect()  # at most TRAIN_URLS rows
     y = np.array([r["y"] for r in drawn])
     prior = float(y.mean()) if len(y) else 0.5
