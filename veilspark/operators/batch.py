@@ -21,6 +21,25 @@ def split_faulty(records: DataFrame, most: int = MAX_TEXT) -> tuple[DataFrame, D
     return marked.where("error is null").drop("error"), dead
 
 
+MOST_RECORDS = 500
+
+
+def guarded(records: DataFrame, most: int = MOST_RECORDS) -> DataFrame:
+    """Records of one upload, refused as a whole where there are none or more than ``most`` (an interactive limit; jobs over tables have none)."""
+    n = records.limit(most + 1).count()
+    if not n:
+        raise ValueError("no text to process")
+    if n > most:
+        raise ValueError(f"more than {most} records")
+    return records
+
+
+def representative(records: DataFrame, order: str = "file") -> DataFrame:
+    """The first record of the first file, for a preview; its text up to the limit of one text."""
+    first = records.orderBy(order, "row").limit(1)
+    return first.withColumn("text", F.substring("text", 1, MAX_TEXT))
+
+
 def figures(results: DataFrame, dead: DataFrame) -> DataFrame:
     """Totals of a job and its final status, one row."""
     both = results.select(F.lit(0).alias("bad")).unionAll(dead.select(F.lit(1).alias("bad")))

@@ -18,8 +18,8 @@ def terms(text: Column) -> Column:
 
 
 def facet(rows: DataFrame, kind: str = "all", search: str = "") -> DataFrame:
-    """Open spans of a facet (all, conflict, low: score under 0.8) whose text or context has the search string."""
-    out = rows.where({"all": "true", "conflict": "conflict", "low": "coalesce(score, 0) < 0.8"}[kind])
+    """Open spans of a facet (all, conflict, low: score under 0.8, boundary: the reason names it) whose text or context has the search string."""
+    out = rows.where({"all": "true", "conflict": "conflict", "low": "coalesce(score, 0) < 0.8", "boundary": "reason like '%边界%'"}[kind])
     return out.where(F.col("entity").contains(search) | F.col("context").contains(search)) if search else out
 
 

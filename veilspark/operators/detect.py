@@ -9,7 +9,9 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.errors.exceptions.captured import CapturedException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.functions.patterns import ALL, LITE, RULES, Recognizer
@@ -46,6 +48,17 @@ def active(enabled: tuple[str, ...] | None = None, language: str = "auto") -> li
     return [r for r in typed if r.source == "RULE" or scope == "all" or r.language in ("all", scope)]
 
 
+def _compiles(pattern: str) -> bool:
+    """Whether the JVM's engine knows the pattern too, where there is a session to ask."""
+    spark = SparkSession.getActiveSession()
+    try:
+        if spark is not None:
+            spark._jvm.java.util.regex.Pattern.compile(pattern)
+    except (CapturedException, Py4JJavaError):
+        return False
+    return True
+
+
 def java_pattern(rule: dict) -> str | None:
     """A rule's pattern for Spark, or None where the rule is invalid: such rules are skipped one by one."""
     if not rule.get("enabled", True) or rule.get("entity_type") not in ENTITY_TYPES or not rule.get("pattern"):
@@ -59,6 +72,8 @@ def java_pattern(rule: dict) -> str | None:
             return None
         body = re.sub(r"\(\?P<", "(?<", rule["pattern"])
         body = re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", body)
+        if not _compiles(body):
+            return None
     return ("" if rule.get("case_sensitive") else "(?iu)") + body
 
 
@@ -104,12 +119,19 @@ def detect(docs: DataFrame, enabled: tuple[str, ...] | None = None, language: st
     return docs.withColumn("candidates", F.concat(*arrays) if arrays else empty_spans())
 
 
+#: Rules of a configuration; their table is sent to every task.
+MOST_RULES = 10_000
+
+
 def apply_rules(docs: DataFrame, rules: DataFrame, text: str = "text") -> DataFrame:
     """Long form for a rules table ``id, name, pattern, entity_type``: one row per document, rule and match.
 
     ``pattern`` is already in Spark's syntax.  Every rule meets every document;
     the rules side is small by configuration.
     """
+    n = rules.limit(MOST_RULES + 1).count()
+    if n > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
     met = docs.crossJoin(F.broadcast(rules.select(F.col("id").alias("rule_id"), F.col("name").alias("rule_name"), "pattern", "entity_type")))
     met = met.where(F.expr(f"{text} rlike pattern")).withColumn("x", F.explode(matches(text, "pattern")))
     return met.select(*docs.columns, "rule_id", "rule_name", "entity_type", "x.start", "x.end", F.col("x.text").alias("match"))

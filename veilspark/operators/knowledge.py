@@ -82,8 +82,8 @@ def collect_strings(value, preferred=("concept", "value", "category", "label", "
     return []
 
 
-def remote_levels(answers: DataFrame) -> DataFrame:
-    """Three levels from ``term, entity_type, body`` (a provider's JSON), short ones padded from local levels."""
+def remote_levels(answers: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``keep`` and three levels from ``term, entity_type, body`` (a provider's JSON), short ones padded from local levels."""
     @F.pandas_udf("array<string>")
     def strings(bodies: pd.Series) -> pd.Series:
         def one(body):
@@ -96,4 +96,4 @@ def remote_levels(answers: DataFrame) -> DataFrame:
 
     local = lookup(F.col("term"), F.col("entity_type"))["levels"]
     clean = F.filter(strings("body"), lambda s: (s != F.col("term")) & (F.length(s) <= 80))
-    return answers.select("term", "entity_type", F.slice(F.array_distinct(F.concat(clean, local)), 1, 3).alias("levels"), F.when(F.size(clean) > 0, "remote").otherwise("local_fallback").alias("source"))
+    return answers.select("term", "entity_type", *keep, F.slice(F.array_distinct(F.concat(clean, local)), 1, 3).alias("levels"), F.when(F.size(clean) > 0, "remote").otherwise("local_fallback").alias("source"))

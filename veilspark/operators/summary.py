@@ -70,3 +70,17 @@ def evaluate(predicted: DataFrame, gold: DataFrame) -> DataFrame:
 def best_system(reports: DataFrame) -> DataFrame:
     """The report with the best F1, the first on ties (columns ``ord, name, f1``)."""
     return reports.orderBy(F.desc("f1"), "ord").limit(1)
+
+
+def mean_latency(runs: DataFrame) -> DataFrame:
+    """The mean of ``ms``; 0 where nothing ran."""
+    return runs.agg(F.coalesce(F.avg("ms"), F.lit(0.0)).alias("latency"))
+
+
+def report(rated: DataFrame, latency: DataFrame, name: str, dataset: str, records: int) -> DataFrame:
+    """An evaluation as one JSON row: the system's figures, recall by type in order, and what was measured."""
+    everything = rated.where("entity_type = 'ALL'").select("precision", "recall", "f1").crossJoin(latency)
+    system = everything.select(F.struct(F.lit(name).alias("name"), "precision", "recall", "f1", "latency").alias("system"))
+    types = rated.where("entity_type != 'ALL'").agg(F.array_sort(F.collect_list(F.struct(F.col("entity_type").alias("name"), "recall"))).alias("categories"))  # a row for each type
+    meta = F.struct(F.lit(dataset).alias("dataset"), F.lit(records).alias("records"), F.lit("exact-span").alias("metric"))
+    return system.crossJoin(types).select(F.to_json(F.struct(F.array("system").alias("systems"), "categories", meta.alias("metadata"))).alias("value"))

@@ -69,7 +69,11 @@ def csv_rows(files: DataFrame) -> DataFrame:
         for pdf in batches:
             out = []
             for name, content in zip(pdf["file"], pdf["content"], strict=True):
-                reader = csv.DictReader(io.StringIO(bytes(content).decode("utf-8-sig", "replace"), newline=""))
+                try:
+                    decoded = bytes(content).decode("utf-8-sig")
+                except UnicodeDecodeError:
+                    continue  # reported by ``records`` as a file that cannot be read
+                reader = csv.DictReader(io.StringIO(decoded, newline=""))
                 columns = reader.fieldnames or []
                 column = next((c for c in ("text", "content") if c in columns), columns[0] if columns else None)
                 out += [(name, i, r.get(column) or "") for i, r in enumerate(reader, 1) if column is not None]
@@ -120,7 +124,7 @@ def records(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     good = marked.where("error is null")
     rich = documents(good)
     broken_json = good.where("kind = 'json'").where(F.from_json(_decoded(), "array<string>").isNull()).select("file", F.lit("not a JSON array").alias("error"))
-    undecoded = good.where(F.col("kind").isin("txt", "md")).where(_decoded().isNull()).select("file", F.lit("not UTF-8").alias("error"))
+    undecoded = good.where(F.col("kind").isin("txt", "md", "csv")).where(_decoded().isNull()).select("file", F.lit("not UTF-8").alias("error"))
     found = lines(good).unionByName(json_arrays(good)).unionByName(csv_rows(good)).unionByName(rich.where("error is null").select("file", "row", "text"))
     dead = marked.where("error is not null").select("file", "error").unionByName(broken_json).unionByName(undecoded).unionByName(rich.where("error is not null").select("file", "error"))
     return found, dead

@@ -20,6 +20,19 @@ def csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True, quoteAll=True, escape='"', quote='"')
 
 
+RESULTS = ("file", "row", "task_id", "status", "entity_count", "pending_count", "final_revision", "final_text")
+FAILURES = ("file", "row", "error", "text_length", "text_hash")
+
+
+def download_csv(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """Lines of a download, ``at, line``: a byte-order mark and the bare header, then rows by file and row, all cells quoted."""
+    known = [F.coalesce("final_text", "redacted_text").alias(c) if c == "final_text" and "redacted_text" in rows.columns else F.col(c) for c in columns]
+    cells = [F.concat(F.lit('"'), F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"')) for c in columns]
+    body = rows.select(*known).select(F.struct("file", "row").alias("at"), F.concat_ws(",", *cells).alias("line"))
+    head = rows.sparkSession.createDataFrame([("\ufeff" + ",".join(columns),)], "line string").select(F.lit(None).cast(body.schema["at"].dataType).alias("at"), "line")
+    return head.unionByName(body).orderBy(F.asc_nulls_first("at"))
+
+
 def json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
