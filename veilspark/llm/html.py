@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import table
+from veilspark.llm.common import modest_batches, table
 
 #: Lines of a window.
 WINDOW = 3
@@ -227,6 +227,7 @@ def extract(pages: DataFrame) -> DataFrame:
     A null page has an empty text; pages of any length are read whole, in linear time; repeated rows each get a row,
     null ids and urls stay null, other columns are not read, and an empty table gives no rows.
     """
+    modest_batches(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("bigint"), F.col("url").cast("string"), F.col("html").cast("string"))
     return rows.mapInArrow(_extract, "page_id bigint, url string, text string, n_chars bigint")
 

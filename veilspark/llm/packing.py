@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import quantile_splits, range_bucket, table, unit_hash
+from veilspark.llm.common import modest_batches, quantile_splits, range_bucket, table, unit_hash
 
 LENGTH = 1024
 DIMS, BITS = 4, 7
@@ -231,6 +231,7 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
     Repeated rows are packed one by one, texts of any length whole; a null doc_id
     stays null; other columns are not read; an empty table gives no rows.
     """
+    modest_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("spread", F.xxhash64("doc_id", F.lit("spread")))
     total = rows.agg(F.sum(F.length("text") + 1)).first()[0] or 0

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.llm import minhash
-from veilspark.llm.common import materialize, row_key, table
+from veilspark.llm.common import materialize, modest_batches, row_key, table
 from veilspark.llm.components import connected_components
 
 SHINGLE = 3
@@ -84,9 +84,11 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS)
     """``doc_id, fp, component_id`` for every row of ``docs`` (columns ``doc_id, text``).
 
     ``component_id`` is the smallest doc_id reachable over links of at most
-    ``radius`` differing bits, itself included.  Repeated rows each get a row; an
-    empty table gives none.
+    ``radius`` differing bits, itself included.  Repeated rows each get a row; a
+    null doc_id stays null and names no component that has another; texts of any
+    length count whole, other columns are not read, and an empty table gives none.
     """
+    modest_batches(docs.sparkSession)
     rows = materialize(fingerprint(docs), "fingerprints")
     nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
     labels = connected_components(close_pairs(nodes, radius, blocks))
@@ -120,6 +122,7 @@ def deduplicate(docs: DataFrame, shingle: int = minhash.SHINGLE, similarity: flo
     without doc_id is a document known by its text; it stays where its group has
     no row with a doc_id, once.
     """
+    modest_batches(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     known = docs.select("*", row_key("doc_id", "text").alias("key_of_row"), F.xxhash64(text).alias("node_of_row"))
     texts = known.select(F.col("node_of_row").alias("node"), text.alias("text"))

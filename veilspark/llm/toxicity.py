@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspark.llm.common import fitted, mix64, scored, table
+from veilspark.llm.common import fitted, mix64, modest_batches, scored, table
 
 BITS = 20
 THRESHOLD = 0.3
@@ -129,6 +129,7 @@ def reject(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
 
     All columns stay as they are, whatever their names; null texts are scored as empty ones, repeated rows one by one.
     """
+    modest_batches(docs.sparkSession)
     score, at = learn(docs, labels), docs.columns.index("text")
 
     def run(batches):
