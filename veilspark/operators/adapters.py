@@ -12,6 +12,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from veilspark.functions.spans import SPANS, bound
 from veilspark.functions.tables import ACCEPT_SCORE, ENTITY_TYPES, NAMED_TYPES, NER_SCORE
@@ -138,7 +139,7 @@ def replies(docs: DataFrame, load: Callable[[], Callable[[dict], str]], attempts
             yield pa.RecordBatch.from_arrays([*kept, pa.array([r for r, _ in said], pa.string()), pa.array([s for _, s in said], pa.string())], [*columns, "reply", "reply_status"])
 
     asked = docs.withColumns({"asked_context": routed("text"), "asked_spans": F.to_json(doubtful(F.col(spans)))})
-    return asked.mapInArrow(run, docs.withColumns({"reply": F.lit("").cast("string"), "reply_status": F.lit("").cast("string")}).schema)
+    return asked.mapInArrow(run, StructType([*docs.schema.fields, StructField("reply", StringType()), StructField("reply_status", StringType())]))
 
 
 def cosines(terms: DataFrame, load: Callable[[], Callable[[list[str]], list[list[float]]]], pools: dict[str, tuple[str, ...]]) -> DataFrame:
