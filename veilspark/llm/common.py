@@ -33,17 +33,6 @@ def shared_folder(spark: SparkSession) -> str:
     return _FOLDER["own"]
 
 
-#: Rows of an Arrow batch of whole documents or pages, where the session leaves the number at Spark's own default.
-BATCH_ROWS, _DEFAULT_ROWS = 1000, "10000"
-
-
-def modest_batches(spark: SparkSession) -> None:
-    """Documents are large rows: a batch of the default 10,000 stands several times in the memory of a task and its worker."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name, _DEFAULT_ROWS) == _DEFAULT_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write ``df`` once to the shared folder and read it back.
 
@@ -150,8 +139,6 @@ def scored(docs: DataFrame, score, threshold: float) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every row; ``score`` maps an Arrow array of texts to numbers in [0, 1]."""
     import pyarrow as pa
 
-    modest_batches(docs.sparkSession)
-
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
