@@ -2,6 +2,13 @@
 
 Each stage works on all rows that the one before kept.  All but the last return
 the columns of ``documents``; the last returns the pieces of sequences.
+
+In every stage a null text counts as an empty one, texts are read whole whatever
+their length, columns beside ``doc_id, text, source`` pass through whatever their
+names, and an empty table gives no rows.  Repeated rows are judged, redacted, mixed
+and packed one by one; near-duplicates keep one of them.  A row without doc_id is
+known by its text and keeps its null.  Rows without words leave in mixing, where
+they are in no block.
 """
 
 from __future__ import annotations
@@ -19,7 +26,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays."""
+    """One document of each group stays: alike by SimHash, or by Jaccard 0.8 of 5-word shingles."""
     return simhash.deduplicate(docs)
 
 
@@ -30,7 +37,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeat or go so that sources meet their target weights."""
+    """Documents repeat or go with the chosen blocks, so that sources meet their target weights."""
     return mixing.resample(docs)
 
 
