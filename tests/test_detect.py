@@ -68,6 +68,14 @@ def test_offsets_equal_python(spark, key):
         assert [(x["start"], x["end"]) for x in r["m"]] == [m.span(group) for m in re.finditer(pattern, r["text"], flags)]
 
 
+def test_no_passport_inside_an_email(spark):
+    text = "护照E00123456，邮箱u123456@example.com，a.b1234567@x.org E12345678.c@y.net q@E87654321.z.com u654321@ id@D12345678"
+    config = {"enabled_entity_types": ("PASSPORT",)}
+    assert [t for _, t in _spans(spark, text, **config)] == ["E00123456", "u654321", "D12345678"]
+    row = detected(_docs(spark, "护照E00123456，邮箱u123456@example.com"), Config(enabled_entity_types=("PASSPORT", "EMAIL"))).first()
+    assert [(s["text"], s["status"], s["conflict"]) for s in row["spans"]] == [("E00123456", "accepted", False), ("u123456@example.com", "accepted", False)]
+
+
 def test_custom_rules(spark):
     rules = (
         {"id": "1", "name": "k", "kind": "keyword", "pattern": "蓝鲸计划Q", "entity_type": "CUSTOM"},

@@ -30,14 +30,18 @@ class Recognizer:
     language: str = "all"
     #: What every text with a match has; cheaper to look for than the match.
     needs: str | None = None
+    #: What matches are not looked for within: where this matches, the search goes on behind it.
+    outside: str | None = None
 
 
+_EMAIL = r"(?iu)(?<![A-Za-z0-9_.+-])[A-Za-z0-9_.+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+
 RULES = (
-    Recognizer("email", "EMAIL", r"(?iu)(?<![A-Za-z0-9_.+-])[A-Za-z0-9_.+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", 0.99, "RULE", needs="@"),
+    Recognizer("email", "EMAIL", _EMAIL, 0.99, "RULE", needs="@"),
     Recognizer("phone_cn", "PHONE", rf"(?<!{D})(?:\+?86[- ]?)?1[3-9]{D}{{9}}(?!{D})", 0.99, "RULE", needs=f"1[3-9]{D}{{9}}"),
     Recognizer("phone_intl", "PHONE", rf"(?<!{D})(?:\+?(?:1|44|61|81|82|65)[-. ]?)?\(?{D}{{2,4}}\)?[-. ]{D}{{3,4}}[-. ]{D}{{4}}(?!{D})", 0.94, "RULE", needs=f"{D}[-. ]{D}{{4}}"),
     Recognizer("id_card", "ID_CARD", rf"(?<!{D}){D}{{17}}[0-9Xx](?!{D})", 0.995, "RULE", needs=f"{D}{{17}}"),
-    Recognizer("passport", "PASSPORT", rf"(?iu)(?<![A-Z0-9])(?:[EGDSP]{D}{{8}}|[A-Z]{{1,2}}{D}{{6,9}})(?![A-Z0-9])", 0.94, "RULE", needs=f"{D}{{6}}"),
+    Recognizer("passport", "PASSPORT", rf"(?iu)(?<![A-Z0-9])(?:[EGDSP]{D}{{8}}|[A-Z]{{1,2}}{D}{{6,9}})(?![A-Z0-9])", 0.94, "RULE", needs=f"{D}{{6}}", outside=_EMAIL),
     Recognizer("bank_card", "BANK_CARD", rf"(?<!{D})(?:{D}[ -]?){{12,19}}(?!{D})", 0.97, "RULE", needs=f"(?:{D}[ -]?){{12}}"),
 )
 LITE = (

@@ -32,7 +32,10 @@ def scope_of(language: str) -> str:
 
 def generator(r: Recognizer, text: str = "text", strategy: Column | str = "mask", language: str = "auto") -> Column:
     """Spans of one recognizer in a text column."""
-    found = matches(text, quoted(r.pattern), r.group, quoted(r.needs) if r.needs else None)
+    pattern, group = (f"(?:{r.outside})|({r.pattern})", r.group + 1) if r.outside else (r.pattern, r.group)
+    found = matches(text, quoted(pattern), group, quoted(r.needs) if r.needs else None)
+    if r.outside:
+        found = F.filter(found, lambda x: x["end"] > x["start"])
     if r.key in _CHECKS:
         found = F.filter(found, _CHECKS[r.key])
     scope = scope_of(language)
