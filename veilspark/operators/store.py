@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilspark.functions.spans import bound
 from veilspark.functions.tables import AUDIT_ROWS, CONTEXT, HISTORY_ROWS, JOB_ROWS, PREVIEW, REVIEW_ROWS
 
 
@@ -111,24 +112,34 @@ def hashed(text: Column) -> Column:
 
 
 def common_prefix(a: Column, b: Column) -> Column:
-    """Length of the common prefix, by bisection on hash-free substring equality: log steps, each a JVM comparison."""
+    """Length of the common prefix, by halving: an equal first half is counted and dropped, a different one kept.
+
+    What is left is half as long after each step, so the work is linear in the texts.
+    """
     most = F.least(F.length(a), F.length(b))
     steps = F.sequence(F.lit(0), F.ceil(F.log2(most + 2)).cast("int"))
 
     def halve(s: Column, _: Column) -> Column:
-        mid = F.ceil((s["lo"] + s["hi"]) / 2).cast("int")
-        same = F.substring(a, F.lit(1), mid) == F.substring(b, F.lit(1), mid)
-        return F.struct(F.when(same, mid).otherwise(s["lo"]).alias("lo"), F.when(same, s["hi"]).otherwise(F.greatest(mid - 1, s["lo"])).alias("hi"))
+        half = F.ceil(s["left"] / 2).cast("int")
+        first = lambda c: F.substring(s[c], F.lit(1), half)
+        rest = lambda c: F.substring(s[c], half + 1, s["left"] - half)
+        state = lambda done, a, b, left: F.struct(done.alias("done"), a.alias("a"), b.alias("b"), left.alias("left"))
+        same = state(s["done"] + half, rest("a"), rest("b"), s["left"] - half)
+        return F.when(first("a") == first("b"), same).otherwise(state(s["done"], first("a"), first("b"), half))
 
-    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), most.alias("hi")), halve, lambda s: s["lo"])
+    return F.aggregate(steps, F.struct(F.lit(0).alias("done"), a.alias("a"), b.alias("b"), most.alias("left")), halve, lambda s: s["done"])
 
 
 def changed(a: Column, b: Column) -> Column:
     """``prefix`` and ``suffix`` lengths that two texts share, and ``changed``: the longer rest."""
-    p = common_prefix(a, b)
-    tail = lambda c: F.reverse(F.substring(c, p + 1, F.length(c) - p))
-    s = common_prefix(tail(a), tail(b))
-    return F.struct(p.alias("prefix"), s.alias("suffix"), (F.greatest(F.length(a), F.length(b)) - p - s).alias("changed"))
+
+    def rest(x: Column) -> Column:
+        tails = F.struct(*[F.reverse(F.substring(x[c], x["p"] + 1, F.length(x[c]) - x["p"])).alias(c) for c in ("a", "b")], x["p"].alias("p"))
+        return bound(tails, lambda t: F.struct(t["p"].alias("p"), common_prefix(t["a"], t["b"]).alias("s"), F.greatest(F.length(t["a"]), F.length(t["b"])).alias("n")))
+
+    with_prefix = lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), common_prefix(x["a"], x["b"]).alias("p"))
+    whole = bound(bound(F.struct(a.alias("a"), b.alias("b")), with_prefix), rest)
+    return bound(whole, lambda r: F.struct(r["p"].alias("prefix"), r["s"].alias("suffix"), (r["n"] - r["s"]).alias("changed")))
 
 
 def save_final(versions: DataFrame, task: str, text: str, revision: int) -> DataFrame | None:
