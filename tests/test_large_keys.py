@@ -14,7 +14,7 @@ def far(tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["type_rollup"])
+@pytest.mark.parametrize("name", ["type_rollup", "redact_bilingual"])
 def test_oracle_far(spark, far, name):
     duck = duckdb.connect()
     duck.execute(f"CREATE VIEW customer AS SELECT * FROM '{far}/customer.parquet'")
