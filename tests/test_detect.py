@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from veilspark.functions.patterns import ALL
 from veilspark.functions.spans import cn_id, luhn, matches, quoted
-from veilspark.operators.detect import chunk_bounds, detect, java_pattern, recognizer, routed
+from veilspark.operators.detect import chunk_bounds, detect, generator, java_pattern, recognizer, routed
 from veilspark.plans.config import Config
 from veilspark.plans.pipeline import detected, redact
 
@@ -122,3 +122,10 @@ def test_names_in_all_documents_equal_brute_force(spark):
     found = [(r["doc_id"], v, r["lang"]) for r in docs for v in name.findall(r["text"] or "") if not organisation.search(v)]
     assert sorted((r["doc_id"], r["value"]) for r in QUERIES["detect_person_en"](spark, data).collect()) == sorted(x[:2] for x in found)
     assert {x[2] for x in found} > {"en"}
+
+
+def test_phone_numbers_one_character_apart(spark):
+    """Both are whole: the character between them is the border of either."""
+    text = "+1 (555) 123-4567 +1 (555) 765-4321\n020-1234-5678"
+    found = _docs(spark, text).select(generator(recognizer("phone_intl")).alias("s")).first()["s"]
+    assert [x["text"] for x in found] == ["+1 (555) 123-4567", "+1 (555) 765-4321", "020-1234-5678"]
