@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -45,6 +46,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def trimmed(run):
+    """``run`` over a task's batches; what it freed goes back to the machine, since its worker stays for later tasks."""
+
+    def out(batches):
+        import pyarrow as pa
+
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+            trim(0)
+
+    return out
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows that no classifier may learn from."""
     return F.crc32(doc_id.cast("string")) % 4 == 2
@@ -131,7 +146,7 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str, most: int, fit, seed:
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(found, y))], pa.binary())], ["model"])
 
     met = texts.join(F.broadcast(drawn), "doc_id").select("at", "y", "text")  # ``most`` rows, but for repeated documents
-    got = met.repartition(1).sortWithinPartitions("at", "text").select("y", "text").mapInArrow(run, "model binary").collect()  # one row
+    got = met.repartition(1).sortWithinPartitions("at", "text").select("y", "text").mapInArrow(trimmed(run), "model binary").collect()  # one row
     return pickle.loads(got[0]["model"]) if got else fit(pa.array([], pa.string()), np.zeros(0))
 
 
@@ -146,5 +161,5 @@ def scored(docs: DataFrame, score, threshold: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(score(part.column("text")), pa.float64())], ["doc_id", "score"])
 
     rows = docs.select(F.col("doc_id").cast("bigint"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    out = rows.mapInArrow(run, "doc_id bigint, score double")
+    out = rows.mapInArrow(trimmed(run), "doc_id bigint, score double")
     return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import materialize
+from veilspark.llm.common import materialize, trimmed
 from veilspark.llm.components import connected_components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -85,7 +85,7 @@ def components(nodes: DataFrame, texts: DataFrame, links: DataFrame, shingle: in
     members = materialize(spread.join(shared, "bucket"), "members")
     # A text with many copies is one row of each task before the shuffle, and one row after it.
     single = texts.groupBy("node").agg(F.first("text").alias("text")).join(members.select("node").distinct(), "node", "left_semi")
-    sets = materialize(single.mapInArrow(_sets(shingle), "node bigint, grams array<bigint>"), "sets")
+    sets = materialize(single.mapInArrow(trimmed(_sets(shingle)), "node bigint, grams array<bigint>"), "sets")
     near = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * similarity - 1e-9  # else no sets of these sizes are alike
     side = lambda df, k: df.select("bucket", F.col("node").alias(f"node_{k}"), F.col("n").alias(f"n_{k}"), *([(F.col("members") > FEW).alias("leads")] if k == "a" else []))
     heads = members.where((F.col("members") <= FEW) | (F.col("node") == F.col("first")))

@@ -12,6 +12,7 @@ from __future__ import annotations
 import heapq
 import zlib
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -91,7 +92,7 @@ def _laid_out(sized: DataFrame, rows: DataFrame, weights, seed: int, block_words
     block = max(1, min(block_words, small // 512))
     per_shard = max(SHARD_DOCS, sum(r["docs"] for r in found) // MOST_SHARDS)
     plan = [(r["source"], i, -(-r["docs"] // per_shard), sizes[i], target[i]) for i, r in enumerate(found)]
-    sources = _few(spark.createDataFrame(plan, "s string, sid int, shards bigint, mix_source_size bigint, mix_target double"), len(plan))
+    sources = _few(spark, plan, "s string, sid int, shards bigint, mix_source_size bigint, mix_target double")
     shard = F.pmod(F.xxhash64(F.lit(seed + 1), "mix_key"), F.col("shards"))
     dealt = lambda df: df.join(sources, F.col("mix_source").eqNullSafe(F.col("s"))).withColumn("mix_shard", shard).drop("s", "shards")
     parts = sorted((r["sid"], r["mix_shard"], r["size"]) for r in dealt(rows).groupBy("sid", "mix_shard").agg(F.sum("mix_size").alias("size")).collect())
@@ -100,7 +101,7 @@ def _laid_out(sized: DataFrame, rows: DataFrame, weights, seed: int, block_words
     shares = [q for i, b in enumerate(blocks) for q in sainte_lague([float(x) for x in b], quotas[i], [MOST_REPEATS * x for x in b])]
     seeded = lambda s, k, n: zlib.crc32(f"{seed}:{s}:{k}".encode()) % max(1, n)
     quota = [(s, k, max(1, n), q // max(1, n), q % max(1, n), seeded(s, k, n)) for (s, k, _), n, q in zip(parts, (n for b in blocks for n in b), shares, strict=True)]
-    quota = _few(spark.createDataFrame(quota, "sid int, mix_shard bigint, mix_n bigint, mix_full bigint, mix_rest bigint, mix_start bigint"), len(quota))
+    quota = _few(spark, quota, "sid int, mix_shard bigint, mix_n bigint, mix_full bigint, mix_rest bigint, mix_start bigint")
     order = F.xxhash64(F.lit(seed), "mix_key", "mix_size")
     within = Window.partitionBy("sid", "mix_shard").orderBy(order, "mix_key").rowsBetween(Window.unboundedPreceding, 0)
     laid = dealt(sized).withColumn("mix_end", F.sum("mix_size").over(within))
@@ -124,9 +125,16 @@ def mix(docs: DataFrame, weights=lambda i: float(i % 3 + 1), seed: int = 11, blo
     return laid.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), taken.alias("taken"))
 
 
-def _few(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast a driver-made table only while it is small; beyond that it is joined by a shuffle."""
-    return F.broadcast(df) if rows <= 100_000 else df
+def _few(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A driver-made table, broadcast only while it is small; beyond that it is joined by a shuffle.
+
+    It goes over as an Arrow table: plain rows would start Python workers on the executors, which then stay.
+    """
+    kinds = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64()}
+    columns = zip(*rows, strict=True) if rows else [()] * len(schema.split(","))
+    fields = [f.split() for f in schema.split(",")]
+    df = spark.createDataFrame(pa.table({n: pa.array(c, kinds[k]) for (n, k), c in zip(fields, columns, strict=True)}), schema)
+    return F.broadcast(df) if len(rows) <= 100_000 else df
 
 
 def _grouped(parts: list[tuple[int, int, int]], n: int, block: int) -> list[list[int]]:

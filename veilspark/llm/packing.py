@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import quantile_splits, range_bucket, table, unit_hash
+from veilspark.llm.common import quantile_splits, range_bucket, table, trimmed, unit_hash
 
 LENGTH = 1024
 DIMS, BITS = 4, 7
@@ -237,12 +237,12 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
     ranges = min(MOST_RANGES, ceil(total / RANGE_CHARS))
     drawn = F.floor((F.length("text") + 1) * (BORDER_SAMPLE * ranges / max(1, total)) + unit_hash("doc_id", F.lit("borders"))).cast("int")
     sample = rows.withColumn("drawn", drawn).where("drawn > 0")
-    keys = sample.mapInArrow(_tokens(path, False), "key bigint, drawn int").select("key", F.explode(F.sequence(F.lit(1), "drawn")))
+    keys = sample.mapInArrow(trimmed(_tokens(path, False)), "key bigint, drawn int").select("key", F.explode(F.sequence(F.lit(1), "drawn")))
     splits = quantile_splits(keys, "key", ranges)
-    keyed = rows.mapInArrow(_tokens(path, True), "doc_id bigint, key bigint, ids binary").withColumn("range", range_bucket(F.col("key"), splits).cast("bigint"))
+    keyed = rows.mapInArrow(trimmed(_tokens(path, True)), "doc_id bigint, key bigint, ids binary").withColumn("range", range_bucket(F.col("key"), splits).cast("bigint"))
     ordered = keyed.repartition(max(1, ranges), "range").sortWithinPartitions("range", "key", "doc_id")
     schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
-    return ordered.select("range", "doc_id", "ids").mapInArrow(_packer(length), schema)
+    return ordered.select("range", "doc_id", "ids").mapInArrow(trimmed(_packer(length)), schema)
 
 
 def vocabulary() -> str:

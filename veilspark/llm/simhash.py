@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.llm import minhash
-from veilspark.llm.common import materialize, row_key, table
+from veilspark.llm.common import materialize, row_key, table, trimmed
 from veilspark.llm.components import connected_components
 
 SHINGLE = 3
@@ -124,7 +124,7 @@ def deduplicate(docs: DataFrame, shingle: int = minhash.SHINGLE, similarity: flo
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     known = docs.select("*", row_key("doc_id", "text").alias("key_of_row"), F.xxhash64(text).alias("node_of_row"))
     texts = known.select(F.col("node_of_row").alias("node"), text.alias("text"))
-    prints = known.select("key_of_row", "node_of_row", text).mapInArrow(_prints(shingle), "key bigint, node bigint, fp bigint, n bigint, buckets array<bigint>")
+    prints = known.select("key_of_row", "node_of_row", text).mapInArrow(trimmed(_prints(shingle)), "key bigint, node bigint, fp bigint, n bigint, buckets array<bigint>")
     rows = materialize(prints, "prints")
     nodes = rows.groupBy("node").agg(F.min("key").alias("rep"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("buckets").alias("buckets"))
     heads = nodes.groupBy("fp").agg(F.min("node").alias("head"))

@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspark.llm.common import fitted, mix64, scored, table
+from veilspark.llm.common import fitted, mix64, scored, table, trimmed
 
 BITS = 20
 THRESHOLD = 0.3
@@ -138,7 +138,7 @@ def reject(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
                 texts = pc.fill_null(part.column(at).cast(pa.string()), "")
                 yield part.filter(pa.array(score(texts) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
